@@ -69,12 +69,40 @@ def suffix_array(text: list[int]) -> list[int]:
         for i in by[c]:
             group[i] = g
     above[-1] = -1
+    # lists keep members that have left; they are sorted out once, when their group's turn comes
+    size = [len(m) for m in members]
     prev = [-1] * n
     done = bytearray(n)
     g = len(members) - 1
     while g >= 0:
         own = members[g]
+        if size[g] == 1:
+            # the commonest case: one suffix, which points to one other at most
+            i = own[0] if len(own) == 1 else next(i for i in own if group[i] == g)
+            members[g] = [i]
+            done[i] = 1
+            j = i - 1
+            while j >= 0 and done[j]:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[h := group[j]] > 1:
+                new = len(members)
+                members.append([j])
+                size.append(1)
+                size[h] -= 1
+                up = above[h]
+                below.append(h)
+                above.append(up)
+                above[h] = new
+                if up >= 0:
+                    below[up] = new
+                group[j] = new
+            g = below[g]
+            continue
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
         own.sort()
+        members[g] = own
         for i in own:
             done[i] = 1
         count: dict[int, int] = {}
@@ -85,29 +113,30 @@ def suffix_array(text: list[int]) -> list[int]:
             prev[i] = j
             if j >= 0:
                 count[j] = count.get(j, 0) + 1
-        if count:
-            parts: dict[tuple[int, int], list[int]] = {}
-            for p, k in count.items():
-                parts.setdefault((group[p], k), []).append(p)
-            touched: dict[int, int] = {}
-            # the fewest pointers first, each part right above the one before
-            for (h, k), part in sorted(parts.items()) if len(parts) > 1 else parts.items():
-                if h not in touched and len(part) == len(members[h]):
-                    continue
-                at = touched.get(h, h)
-                new = len(members)
-                members.append(part)
-                up = above[at]
-                below.append(at)
-                above.append(up)
-                above[at] = new
-                if up >= 0:
-                    below[up] = new
-                for p in part:
-                    group[p] = new
-                touched[h] = new
-            for h in touched:
-                members[h] = [i for i in members[h] if group[i] == h]
+        parts: dict[tuple[int, int], list[int]] = {}
+        for p, k in count.items():
+            h = group[p]
+            if size[h] > 1:
+                parts.setdefault((h, k), []).append(p)
+        touched: dict[int, int] = {}
+        # the fewest pointers first, each part right above the one before
+        for (h, _), part in sorted(parts.items()) if len(parts) > 1 else parts.items():
+            if h not in touched and len(part) == size[h]:
+                continue
+            at = touched.get(h, h)
+            new = len(members)
+            members.append(part)
+            size.append(len(part))
+            size[h] -= len(part)
+            up = above[at]
+            below.append(at)
+            above.append(up)
+            above[at] = new
+            if up >= 0:
+                below[up] = new
+            for p in part:
+                group[p] = new
+            touched[h] = new
         g = below[g]
     # places of the groups, from the smallest on
     g = group[n - 1]
@@ -115,7 +144,7 @@ def suffix_array(text: list[int]) -> list[int]:
     at = 0
     while g >= 0:
         start[g] = at
-        at += len(members[g])
+        at += size[g]
         g = above[g]
     order = [0] * n
     order[0] = n - 1
