@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: Word lists up to this length become one regular expression, longer ones are joined.
 MOST_IN_PATTERN = 2000
-#: Up to so many first letters sort out positions before words are cut.
-MOST_HEADS = 200
 
 
 def normalise(words: list[str]) -> list[str]:
@@ -47,21 +45,26 @@ def hits(rows: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_
     Substrings of the lengths that occur in the list are joined with it by equality.
     """
     clean = words.select(F.lower(F.regexp_replace("word", r"[\s|]+", "")).alias("word")).where("word <> ''").distinct()
-    # distinct lengths and first letters, a handful of values
-    sizes = sorted(r[0] for r in clean.select(F.length("word")).distinct().collect())
+    # short lists are known here as a whole; of longer ones a handful of lengths
+    few = [r[0] for r in clean.limit(MOST_IN_PATTERN + 1).collect()]
+    known = len(few) <= MOST_IN_PATTERN
+    sizes = sorted({len(w) for w in few} if known else {r[0] for r in clean.select(F.length("word")).distinct().collect()})
+    heads = sorted({w[0] for w in few}) if known else []
     # a generated column isn't inlined into the expressions below, which would split the text again for each position
     source = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.array(F.split(F.col(text) if case_sensitive else F.lower(text), ""))).alias("_c"))
     if not sizes:
         return source.select(key, F.lit(0).alias("position"), F.lit("").alias("word")).where("false")
-    heads = [r[0] for r in clean.select(F.substring("word", 1, 1)).distinct().limit(MOST_HEADS + 1).collect()]
     chars = F.col("_c")
 
-    def cut(n: int) -> Column:
-        last = F.size(chars) - n + 1
-        places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        if len(heads) <= MOST_HEADS:
-            places = F.filter(places, lambda i: F.element_at(chars, i).isin(heads))
-        return F.transform(places, lambda i: F.struct((i - 1).alias("position"), F.array_join(F.slice(chars, i, F.lit(n)), "").alias("word")))
-
-    found = source.select(key, F.explode(F.flatten(F.array(*map(cut, sizes)))).alias("h")).select(key, "h.position", "h.word")
+    places = F.when(F.size(chars) > 0, F.sequence(F.lit(1), F.size(chars)))
+    if heads:
+        places = F.filter(places, lambda i: F.element_at(chars, i).isin(heads))
+    # beyond the end a cut is shorter and may repeat one that is found anyway
+    cuts = F.transform(places, lambda i: F.array(*(F.struct((i - 1).alias("position"), F.array_join(F.slice(chars, i, F.lit(n)), "").alias("word")) for n in sizes)))
+    cuts = F.flatten(cuts)
+    if known:
+        cuts = F.filter(cuts, lambda h: h["word"].isin(few))
+    found = source.select(key, F.explode(cuts).alias("h")).select(key, "h.position", "h.word")
+    if known:
+        return found.distinct()
     return found.join(clean, "word").select(key, "position", "word").distinct()
