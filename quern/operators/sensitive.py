@@ -59,8 +59,9 @@ def hits(rows: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_
     places = F.when(F.size(chars) > 0, F.sequence(F.lit(1), F.size(chars)))
     if heads:
         places = F.filter(places, lambda i: F.element_at(chars, i).isin(heads))
-    # beyond the end a cut is shorter and may repeat one that is found anyway
-    cuts = F.transform(places, lambda i: F.array(*(F.struct((i - 1).alias("position"), F.array_join(F.slice(chars, i, F.lit(n)), "").alias("word")) for n in sizes)))
+    # letter by letter: slicing would copy the whole array at each position; a cut beyond the end is null
+    spelt = lambda i, n: F.concat(*(F.get(chars, i + k - 1) for k in range(n)))
+    cuts = F.transform(places, lambda i: F.array(*(F.struct((i - 1).alias("position"), spelt(i, n).alias("word")) for n in sizes)))
     cuts = F.flatten(cuts)
     if known:
         cuts = F.filter(cuts, lambda h: h["word"].isin(few))
