@@ -281,7 +281,7 @@ def sort_by_field_page(spark, sf_dir):
 
 # ---------------------------------------------------------------- geo
 
-_POINT = "(select event_id, value * 7919.13 - floor(value * 7919.13 / 179.9) * 179.9 - 89.95 as lat, (user_id * 37.77 + value) - floor((user_id * 37.77 + value) / 359.9) * 359.9 - 179.95 as lon from events)"
+_POINT = "(select event_id, value * 7919.13::double - floor(value * 7919.13::double / 179.9::double) * 179.9::double - 89.95::double as lat, (user_id * 37.77::double + value) - floor((user_id * 37.77::double + value) / 359.9::double) * 359.9::double - 179.95::double as lon from events)"
 
 
 def _points(spark, sf_dir) -> DataFrame:
