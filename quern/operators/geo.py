@@ -18,27 +18,38 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _right(v: Column, n: Column) -> Column:
-    return F.call_function("shiftright", v, n.cast("int"))
-
-
 def _cell(value: Column, low: float, span: float) -> Column:
     """The 30 bit cell of a coordinate; the upper end belongs to the last cell."""
     top = 1 << 30
     return F.least(F.floor((value - low) / span * top), F.lit(top - 1)).cast("long")
 
 
-def _spell(x: Column, y: Column, size: Column) -> Column:
-    """Interleaves 30 bit cells, longitude first, and writes the first characters."""
-    return _let(F.struct(x.alias("x"), y.alias("y")), lambda c: _letters(c["x"], c["y"], size))
+def _mixed(i: int) -> str:
+    """The letter whose bits are those of i >> 2 and i & 3, interleaved."""
+    hi, lo = i >> 2, i & 3
+    return ALPHABET[(hi >> 2 & 1) << 4 | (lo >> 1 & 1) << 3 | (hi >> 1 & 1) << 2 | (lo & 1) << 1 | hi & 1]
+
+
+#: Letters in the order of (three bits of one axis, two of the other); axes swap from letter to letter.
+_MIXED = "".join(map(_mixed, range(32)))
+
+
+def _shifts(k: int) -> tuple[int, int]:
+    """How far the three and the two bits of letter k stand from the end of the 30 bit cells."""
+    m = k // 2
+    return (27 - 5 * m, 28 - 5 * m) if k % 2 == 0 else (25 - 5 * m, 25 - 5 * m)
+
 
+def _spell(x: Column, y: Column, size: int) -> Column:
+    """The first letters of a point's 30 bit cells."""
 
-def _letters(x: Column, y: Column, size: Column) -> Column:
-    one = F.lit(1).cast("long")
-    pair = lambda a, i: a * 4 + _right(x, i).bitwiseAND(one) * 2 + _right(y, i).bitwiseAND(one)
-    code = F.aggregate(F.sequence(F.lit(29), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), pair)
-    letter = lambda v, k: F.substring(F.lit(ALPHABET), _right(v, 55 - k * 5).bitwiseAND(F.lit(31).cast("long")).cast("int") + 1, F.lit(1))
-    return _let(code, lambda v: F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda k: letter(v, k)), ""))
+    def letter(k: int) -> Column:
+        three, two = (x, y) if k % 2 == 0 else (y, x)
+        a, b = _shifts(k)
+        number = F.shiftright(three, a).bitwiseAND(F.lit(7).cast("long")) * 4 + F.shiftright(two, b).bitwiseAND(F.lit(3).cast("long"))
+        return F.substring(F.lit(_MIXED), number.cast("int") + 1, F.lit(1))
+
+    return F.concat(*map(letter, range(size)))
 
 
 def encode(lat: Column | str, lon: Column | str, precision: int = LONGEST) -> Column:
@@ -47,7 +58,7 @@ def encode(lat: Column | str, lon: Column | str, precision: int = LONGEST) -> Co
         raise ValueError(f"precision {precision} is not in 1 .. {LONGEST}")
     lat, lon = _col(lat), _col(lon)
     inside = lat.between(-90, 90) & lon.between(-180, 180)
-    return F.when(inside, _spell(_cell(lon, -180, 360), _cell(lat, -90, 180), F.lit(precision)))
+    return F.when(inside, _let(F.struct(_cell(lon, -180, 360).alias("x"), _cell(lat, -90, 180).alias("y")), lambda p: _spell(p["x"], p["y"], precision)))
 
 
 def encode_shortest(lat: Column | str, lon: Column | str) -> Column:
@@ -64,58 +75,68 @@ def encode_shortest(lat: Column | str, lon: Column | str) -> Column:
     return _let(encode(lat, lon), choose)
 
 
-def _cells(h: Column) -> tuple[Column, Column, Column, Column]:
-    """(x, y, bits of x, bits of y) of a geohash; null for other characters."""
+def _with_cells(h: Column, use) -> Column:
+    """use(cell) of a geohash, null for other strings; cell has x, y (south-west corner in 30 bit cells), nx, ny (bits)."""
     low = F.lower(h)
     good = low.rlike(f"^[{ALPHABET}]{{1,{LONGEST}}}$")
-    number = F.aggregate(F.split(low, ""), F.lit(0).cast("long"), lambda a, c: a * 32 + F.instr(F.lit(ALPHABET), c) - 1)
+    x, y = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(LONGEST):
+        # beyond the end the letter is empty, which counts as 0
+        at = F.greatest(F.instr(F.lit(_MIXED), F.substring(low, k + 1, 1)) - 1, F.lit(0)).cast("long")
+        a, b = _shifts(k)
+        three, two = F.shiftleft(F.shiftright(at, 2), a), F.shiftleft(at.bitwiseAND(F.lit(3).cast("long")), b)
+        x, y = (x + three, y + two) if k % 2 == 0 else (x + two, y + three)
     bits = F.length(low) * 5
-    nx, ny = F.ceil(bits / 2).cast("int"), F.floor(bits / 2).cast("int")
-    one = F.lit(1).cast("long")
-    gather = lambda n, odd: _let(number, lambda v: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: a * 2 + _right(v, bits - 1 - odd - i * 2).bitwiseAND(one)))
-    return F.when(good, gather(nx, 0)), F.when(good, gather(ny, 1)), nx, ny
+    cell = F.struct(x.alias("x"), y.alias("y"), F.ceil(bits / 2).cast("int").alias("nx"), F.floor(bits / 2).cast("int").alias("ny"))
+    return F.when(good, _let(cell, use))
+
+
+def _size(bits: Column) -> Column:
+    """Width of a cell of so many bits, in 30 bit cells."""
+    return F.pow(F.lit(2.0), 30 - bits)
+
+
+_LON, _LAT = 360.0 / (1 << 30), 180.0 / (1 << 30)
 
 
 def bounds(h: Column | str) -> Column:
-    """struct(sw: (lat, lon), ne: (lat, lon)) of a geohash's cell."""
-    x, y, nx, ny = _cells(_col(h))
-    w, t = F.lit(360.0) / F.pow(F.lit(2.0), nx), F.lit(180.0) / F.pow(F.lit(2.0), ny)
-    corner = lambda a, b: F.struct((b * t - 90).alias("lat"), (a * w - 180).alias("lon"))
-    return F.when(x.isNotNull(), F.struct(corner(x, y).alias("sw"), corner(x + 1, y + 1).alias("ne")))
+    """struct(sw: (lat, lon), ne: (lat, lon)) of a geohash's cell; null for other strings."""
+    corner = lambda x, y: F.struct((y * _LAT - 90).alias("lat"), (x * _LON - 180).alias("lon"))
+    return _with_cells(_col(h), lambda c: F.struct(corner(c["x"], c["y"]).alias("sw"), corner(c["x"] + _size(c["nx"]), c["y"] + _size(c["ny"])).alias("ne")))
 
 
 def decode(h: Column | str) -> Column:
-    """struct(lat, lon): the cell's centre, rounded to what its size warrants."""
-    x, y, nx, ny = _cells(_col(h))
-    w, t = F.lit(360.0) / F.pow(F.lit(2.0), nx), F.lit(180.0) / F.pow(F.lit(2.0), ny)
+    """struct(lat, lon): the cell's centre, rounded to what its size warrants; null for other strings."""
 
     def rounded(v: Column, size: Column) -> Column:
         unit = F.pow(F.lit(10.0), F.greatest(F.floor(2 - F.log10(size)), F.lit(0)))
         return F.round(v * unit) / unit
 
-    return F.when(x.isNotNull(), F.struct(rounded((y + 0.5) * t - 90, t).alias("lat"), rounded((x + 0.5) * w - 180, w).alias("lon")))
+    def centre(c: Column) -> Column:
+        wide, tall = _size(c["nx"]), _size(c["ny"])
+        return F.struct(rounded((c["y"] + tall * 0.5) * _LAT - 90, tall * _LAT).alias("lat"), rounded((c["x"] + wide * 0.5) * _LON - 180, wide * _LON).alias("lon"))
+
+    return _with_cells(_col(h), centre)
 
 
 _STEPS = {"n": (0, 1), "s": (0, -1), "e": (1, 0), "w": (-1, 0), "ne": (1, 1), "nw": (-1, 1), "se": (1, -1), "sw": (-1, -1)}
 
 
-def _near(h: Column, directions: list[str]) -> list[Column]:
-    x, y, nx, ny = _cells(h)
-    to = lambda v, d, n: F.call_function("shiftleft", F.pmod(v + d, F.call_function("shiftleft", F.lit(1).cast("long"), n)), 30 - n)
-    one = lambda c, d: _spell(to(c["x"], _STEPS[d][0], c["nx"]), to(c["y"], _STEPS[d][1], c["ny"]), F.length(h))
-    cell = F.struct(x.alias("x"), y.alias("y"), nx.alias("nx"), ny.alias("ny"))
-    found = _let(cell, lambda c: F.struct(*(one(c, d).alias(d) for d in directions)))
-    return [F.when(x.isNotNull(), found[d]).alias(d) for d in directions] if len(directions) == 1 else [F.when(x.isNotNull(), found)]
+def _moved(c: Column, direction: str, length: Column) -> Column:
+    to = lambda v, d, n: (v + _size(n).cast("long") * d).bitwiseAND(F.lit((1 << 30) - 1).cast("long"))
+    dx, dy = _STEPS[direction]
+    at = F.struct(to(c["x"], dx, c["nx"]).alias("x"), to(c["y"], dy, c["ny"]).alias("y"))
+    return F.substring(_let(at, lambda p: _spell(p["x"], p["y"], LONGEST)), F.lit(1), length)
 
 
 def adjacent(h: Column | str, direction: str) -> Column:
-    """The neighbouring cell; columns and rows wrap around."""
-    return _near(_col(h), [direction])[0]
+    """The neighbouring cell; columns and rows wrap around; null for other strings."""
+    return _with_cells(_col(h), lambda c: _moved(c, direction, F.length(_col(h))))
 
 
 def neighbors(h: Column | str) -> Column:
-    """struct of the eight neighbours."""
-    return _near(_col(h), ["n", "ne", "e", "se", "s", "sw", "w", "nw"])[0]
+    """struct of the eight neighbours; null for other strings."""
+    return _with_cells(_col(h), lambda c: F.struct(*(_moved(c, d, F.length(_col(h))).alias(d) for d in ("n", "ne", "e", "se", "s", "sw", "w", "nw"))))
 
 
 def decimals(value: Column | str) -> Column:

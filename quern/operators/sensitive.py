@@ -42,30 +42,32 @@ def replace(text: Column | str, words: list[str], mask: str = "**", case_sensiti
 def hits(rows: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_id", case_sensitive: bool = True) -> DataFrame:
     """(key, position from 0, word) of all hits, nested and overlapping ones too.
 
-    Substrings of the lengths that occur in the list are joined with it by equality.
+    For short lists the text is split before each place where some word begins;
+    with longer ones, substrings of the lengths that occur are joined with the list.
     """
     clean = words.select(F.lower(F.regexp_replace("word", r"[\s|]+", "")).alias("word")).where("word <> ''").distinct()
-    # short lists are known here as a whole; of longer ones a handful of lengths
-    few = [r[0] for r in clean.limit(MOST_IN_PATTERN + 1).collect()]
-    known = len(few) <= MOST_IN_PATTERN
-    sizes = sorted({len(w) for w in few} if known else {r[0] for r in clean.select(F.length("word")).distinct().collect()})
-    heads = sorted({w[0] for w in few}) if known else []
-    # a generated column isn't inlined into the expressions below, which would split the text again for each position
-    source = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.array(F.split(F.col(text) if case_sensitive else F.lower(text), ""))).alias("_c"))
-    if not sizes:
+    few = sorted(r[0] for r in clean.limit(MOST_IN_PATTERN + 1).collect())
+    c = F.col(text) if case_sensitive else F.lower(text)
+    source = rows.where(F.col(text).isNotNull()).select(key, c.alias("_t"))
+    if not few:
         return source.select(key, F.lit(0).alias("position"), F.lit("").alias("word")).where("false")
-    chars = F.col("_c")
-
-    places = F.when(F.size(chars) > 0, F.sequence(F.lit(1), F.size(chars)))
-    if heads:
-        places = F.filter(places, lambda i: F.element_at(chars, i).isin(heads))
-    # letter by letter: slicing would copy the whole array at each position; a cut beyond the end is null
-    spelt = lambda i, n: F.concat(*(F.get(chars, i + k - 1) for k in range(n)))
-    cuts = F.transform(places, lambda i: F.array(*(F.struct((i - 1).alias("position"), spelt(i, n).alias("word")) for n in sizes)))
-    cuts = F.flatten(cuts)
-    if known:
-        cuts = F.filter(cuts, lambda h: h["word"].isin(few))
-    found = source.select(key, F.explode(cuts).alias("h")).select(key, "h.position", "h.word")
-    if known:
-        return found.distinct()
-    return found.join(clean, "word").select(key, "position", "word").distinct()
+    if len(few) <= MOST_IN_PATTERN:
+        return _few_hits(source, key, few)
+    sizes = [r[0] for r in clean.select(F.length("word")).distinct().collect()]
+    starts = source.where(F.length("_t") > 0).select(key, F.posexplode(F.split("_t", "")).alias("position", "_c"), "_t")
+    cuts = starts.select(key, "position", F.explode(F.array(*(F.substring(F.col("_t"), F.col("position") + 1, F.lit(n)) for n in sizes))).alias("word"))
+    return cuts.join(clean, "word").select(key, "position", "word").distinct()
+
+
+def _few_hits(source: DataFrame, key: str, words: list[str]) -> DataFrame:
+    rx = pattern(words)
+    longest = max(map(len, words))
+    # a split without width leaves nothing before the first letter: a hit there is tested for by itself
+    pieces = source.where(F.col("_t").rlike(rx)).select(key, "_t", F.explode(F.array(F.split("_t", f"(?={rx})"))).alias("_p"))
+    nothing = F.array().cast("array<int>")
+    first = F.when(F.col("_t").rlike(f"^(?:{rx})"), F.array(F.lit(0))).otherwise(nothing)
+    after = F.aggregate(F.col("_p"), F.struct(F.lit(0).alias("at"), nothing.alias("all")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all")), lambda a: F.slice(a["all"], F.lit(1), F.size(a["all"]) - 1))
+    places = F.transform(F.concat(first, after), lambda i: F.struct(i.alias("position"), F.substring(F.col("_t"), i + 1, F.lit(longest)).alias("ahead")))
+    found = pieces.select(key, F.explode(places).alias("h"))
+    each = F.filter(F.split(F.lit("|".join(words)), r"\|"), lambda w: F.startswith(F.col("h.ahead"), w))
+    return found.select(key, F.col("h.position").alias("position"), F.explode(each).alias("word")).distinct()
