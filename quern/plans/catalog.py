@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -30,7 +33,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wide = spark.sparkContext.defaultParallelism
+    # a table of a few files is read by a few tasks; text work then leaves the other cores idle
+    return rows.repartition(wide) if name in TEXTS and len(rows.inputFiles()) < wide else rows
 
 
 _RX = "'" + analysis.BLOCKS.replace("'", "''") + "'"
