@@ -4,11 +4,15 @@ The lexicon is a small built-in list plus terms learnt from a bounded sample of
 labelled documents (:func:`learn_terms`): whole words, and stems that stand for
 any word beginning with them.  All terms form one trie.  Each distinct word of
 a text gets a Levenshtein automaton that is walked together with the trie, so
-that misspelt terms are found without a list of misspellings; digits that look
-like letters (``1d10t``) are read as those letters.  A byte-pair table drops,
+that misspelt terms are found without a list of misspellings: one letter more,
+less or other, or two neighbours swapped.  Terms under ``FUZZY_CHARS`` letters
+are found with two neighbours swapped only, stems exactly only.  Digits that
+look like letters (``1d10t``) are read as those letters.  A byte-pair table drops,
 without loss, the words that no term can be within the edit bound of.
 
-Each hit is scored from a window of context: words inside quotation marks or
+A misspelt hit counts like an exact one, unless the word is known to be clean:
+it is in ``CLEAN_NEAR``, or in a clean row of the sample.  Each hit is scored
+from a window of context: words inside quotation marks or
 after a reporting verb count less, direct address counts more.  A document is
 toxic if the sum reaches ``THRESHOLD`` and ``PER_WORD`` a word.
 
@@ -31,6 +35,12 @@ from pyspark.sql import functions as F
 from quern.llm import textnp as T
 
 SEED = "idiot idiots idiotic moron morons moronic stupid scum scumbag loser losers pathetic worthless disgusting trash clown clowns imbecile dumbass bastard cretin vermin subhuman degenerate jackass".split()
+#: Words within an edit of a term of SEED that aren't misspellings of it, in English, German, French and Spanish; more are learnt from the labelled rows.
+CLEAN_NEAR = (
+    "idiom idioms boron boronic morn moro moros moran morin morton mormon mormons moroni mouron looser closer closers lose loses losen losel laser lasers lower lowers lover lovers loner loners "
+    "poser posers hoser moser leser doser oser loger louer lober loster losser lesers crash brash thrash rash tras trass crown crowns blown flown clow cloven apathetic bathetic bustard bustards dastard "
+    "cretan creatin vermis termin verein hermin regenerate jackals"
+).split()
 #: Labelled rows that the lexicon is learnt from, at most.
 SAMPLE = 20_000
 #: Chance that a harmless lexicon term is learnt at all.
@@ -42,7 +52,7 @@ THRESHOLD = 1.5
 PER_WORD = 0.0005
 MAX_EDITS = 1
 FUZZY_CHARS = 5
-WEIGHT = {"exact": 1.0, "fuzzy": 0.25, "quoted": 0.2, "reported": 0.4, "addressed": 1.5}
+WEIGHT = {"exact": 1.0, "fuzzy": 1.0, "quoted": 0.2, "reported": 0.4, "addressed": 1.5}
 REPORTING = frozenset("said says saying word words term terms called calls quote quoted quotes slur slurs insult insults wrote phrase phrases means".split())
 ADDRESS = frozenset("you your youre yours u ur yourself".split())
 _QUOTES = frozenset('"“”«»„‟‹›')
@@ -84,6 +94,37 @@ class LevenshteinAutomaton:
         return state[-1][1] if state and state[-1][0] == len(self.word) else None
 
 
+class SwapAutomaton(LevenshteinAutomaton):
+    """The same with two neighbours swapped as one edit; a state holds the last two rows and the last character."""
+
+    def start(self):
+        return (), super().start(), ""
+
+    def step(self, state, char: str):
+        older, row, last = state
+        word, k, new = self.word, self.k, {}
+        for i, cost in row:
+            new[i] = min(new.get(i, k + 1), cost + 1)
+            if i < len(word):
+                new[i + 1] = min(new.get(i + 1, k + 1), cost + (word[i] != char))
+        for i, cost in older:
+            if i + 1 < len(word) and word[i] == char and word[i + 1] == last:
+                new[i + 2] = min(new.get(i + 2, k + 1), cost + 1)
+        for i in range(min(new), len(word)) if new else ():
+            if i in new and new[i] < k:
+                new[i + 1] = min(new.get(i + 1, k + 1), new[i] + 1)
+        after = tuple(sorted((i, cost) for i, cost in new.items() if cost <= k))
+        return (row, after, char) if after else ()
+
+    def distance(self, state) -> int | None:
+        return super().distance(state[1]) if state else None
+
+
+def swaps(term: str) -> set[str]:
+    """The term with two neighbours swapped."""
+    return {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)} - {term}
+
+
 class Trie:
     """Terms and stems as nested dicts; ``""`` holds (term, is_stem)."""
 
@@ -96,7 +137,7 @@ class Trie:
             node[""] = (term, stem or node.get("", ("", False))[1])
 
     def match(self, word: str, k: int = MAX_EDITS) -> tuple[str, int] | None:
-        """Nearest term and its distance: whole words within k edits (short ones exactly), stems exactly."""
+        """Nearest term and its distance: whole words within k edits (short ones with two neighbours swapped), stems exactly."""
         best: tuple[str, int] | None = None
         node = self.root
         for c in word:
@@ -110,7 +151,7 @@ class Trie:
                 return node[""][0], 0
         if k <= 0:
             return None
-        auto = LevenshteinAutomaton(word, k)
+        auto = SwapAutomaton(word, k)
         stack = [(self.root, auto.start())]
         while stack:
             node, state = stack.pop()
@@ -118,7 +159,7 @@ class Trie:
                 if c == "":
                     term, stem = child
                     d = auto.distance(state)
-                    if d is not None and not stem and len(term) >= FUZZY_CHARS and (best is None or (d, term) < (best[1], best[0])):
+                    if d is not None and not stem and (len(term) >= FUZZY_CHARS or word in swaps(term)) and (best is None or (d, term) < (best[1], best[0])):
                         best = (term, d)
                 elif after := auto.step(state, c):
                     stack.append((child, after))
@@ -129,7 +170,7 @@ class Matcher:
     """Trie, byte-pair tables and clean neighbours, made once a worker."""
 
     def __init__(self, terms: list[tuple[str, bool]], clean: list[str], k: int = MAX_EDITS):
-        self.trie, self.k, self.clean = Trie(terms), k, frozenset(clean)
+        self.trie, self.k, self.clean = Trie(terms), k, frozenset(clean) | frozenset(CLEAN_NEAR)
         self.cache: dict[bytes, tuple[str, int] | None] = {}
         self.first, self.last = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
         for term, stem in terms:
@@ -145,6 +186,9 @@ class Matcher:
                 self.first[raw[0] << 8 | raw[1]] |= np.uint64(lengths)
                 if fuzzy:
                     self.last[raw[-2] << 8 | raw[-1]] |= np.uint64(lengths)
+            if not stem and not fuzzy and k > 0:
+                for other in map(str.encode, swaps(term)):
+                    self.first[other[0] << 8 | other[1]] |= np.uint64(1 << min(len(other), 63))
 
     def maybe(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Indices of the words that may be within the bound of a term: with one edit, the first or the last two bytes are kept."""
@@ -161,7 +205,7 @@ class Matcher:
             return self.cache[raw]
         word = raw.decode("utf-8", "replace")
         hit = self.trie.match(word.translate(_LEET_STR), self.k)
-        if hit and hit[1] and word in self.clean:
+        if hit and hit[1] and (word in self.clean or word.isdigit()):
             hit = None
         if len(self.cache) > 300_000:
             self.cache.clear()
@@ -304,8 +348,9 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha:
         clean = both.where("clean > 0 and form like '%$'").select(F.expr("substring(form, 1, length(form) - 1)").alias("word"))
         heads = {t[:2] for t, s in terms if not s and len(t) >= FUZZY_CHARS}
         tails = {t[-2:] for t, s in terms if not s and len(t) >= FUZZY_CHARS}
-        near = clean.where(F.substring("word", 1, 2).isin(list(heads)) | F.expr("right(word, 2)").isin(list(tails)))
-        sizes = {len(t) + d for t, s in terms if not s and len(t) >= FUZZY_CHARS for d in (-1, 0, 1)}
+        short = {w for t, s in terms if not s and len(t) < FUZZY_CHARS for w in swaps(t)}
+        near = clean.where(F.substring("word", 1, 2).isin(list(heads)) | F.expr("right(word, 2)").isin(list(tails)) | F.col("word").isin(list(short)))
+        sizes = {len(t) + d for t, s in terms if not s and len(t) >= FUZZY_CHARS for d in (-1, 0, 1)} | {len(w) for w in short}
         trie_terms = terms
         close = near.where(F.length("word").isin(list(sizes))).mapInArrow(lambda it: _close(it, trie_terms), "word string").collect()
         return sorted(set(terms)), sorted(r["word"] for r in close)

@@ -189,6 +189,35 @@ def test_context_weighs_quotation_less_than_abuse():
     assert hits.tolist() == [1, 1, 1, 0, 0, 2, 0] and soft.tolist() == [0, 1, 1, 0, 0, 0, 0]
 
 
+def swapped(a, b):
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=8), st.text(alphabet="abc", max_size=8), st.integers(0, 3))
+def test_swap_automaton(word, other, k):
+    auto = toxicity.SwapAutomaton(word, k)
+    state = auto.start()
+    for c in other:
+        state = auto.step(state, c) if state else ()
+    d = swapped(word, other)
+    assert auto.distance(state) == (d if d <= k else None)
+
+
+def test_misspelt_terms_alone_reject_a_text_and_clean_neighbours_do_not():
+    m = toxicity.Matcher([(t, False) for t in toxicity.SEED], ["moronia"])
+    bad = ["an idoit and a moorn", "you idoit", "what pathetik wrothless peple", "sucm, they are scmu", "idiott and bastrad", "you lsoer"]
+    good = ["an idiom, a crown and a crash", "your closer lover is no laser", "you regenerate; your crowns, your Termin, your Verein", "you moronia, you", "you owe 12107 and 1107", "the moorn", "your scam, your slum", 'he said "idoit", she said "moorn"']
+    score, _, _, words = toxicity.score_column(pa.array(bad + good), m)
+    assert toxicity.is_toxic(score, words).tolist() == [True] * len(bad) + [False] * len(good)
+
+
 HELD_OUT = """<html><head><title>t</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News desk</a></li><li><a>About</a></li></ul></nav>
 <div class="ad">Buy one and get another one free</div><article><h1>A title of the page &amp; more</h1><p>The first paragraph has quite a few <b>words</b> in it, and <a href="x">one link</a> among them, so it is text.
 <p>Short one.</p><p>Another paragraph follows, with words enough to be told from a menu by anyone who counts them at all.</p></article><!-- <p>hidden</p> -->
