@@ -280,6 +280,11 @@ def stable_sort(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long"))
 
 
+@query("select row_number() over (order by o_totalprice desc, o_orderkey) as place, o_orderkey, o_totalprice from orders")
+def stable_sort_all(spark, sf_dir):
+    return ordering.places(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").select("place", "o_orderkey", "o_totalprice")
+
+
 @query("select c_custkey, c_acctbal from customer order by c_acctbal, c_custkey limit 25 offset 50")
 def sort_by_field_page(spark, sf_dir):
     return ordering.page(ordering.by_field(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "asc", "c_custkey"), 3, 25)

@@ -14,7 +14,7 @@ from quern.errors import IndexError_, MappingError, QueryError
 from quern.functions import dates, money, pinyin, text
 from quern.functions.fake import Fake
 from quern.mapping import Mapping
-from quern.operators import analysis, cache, geo, postings, segment, sensitive
+from quern.operators import analysis, cache, geo, ordering, postings, segment, sensitive
 from quern.plans import catalog
 from quern.plans import match as M
 from quern.sources import files
@@ -226,3 +226,15 @@ def test_query_equals_sql(spark, sf_dir, name):
         con.execute(f"create view {f[:-8]} as select * from '{sf_dir}/{f}'")
     cur = con.execute(catalog.ORACLES[name])
     assert comparable(got.columns, found) == comparable([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_stable_sort_gives_every_row_its_place(spark, sf_dir):
+    r = random.Random(7)
+    rows = [(k, r.choice([None, float("nan"), -1.5, 0.0, 2.0, 2.5, float(r.randrange(50))])) for k in range(700)]
+    r.shuffle(rows)
+    got = ordering.places(spark.createDataFrame(rows, "k long, v double").repartition(5), "v", "k", 8).collect()
+    order = sorted(rows, key=lambda x: ((2, 0) if x[1] is None else (0, 0) if math.isnan(x[1]) else (1, -x[1]), x[0]))
+    assert [(x["place"], x["k"]) for x in got] == [(i, k) for i, (k, _) in enumerate(order, 1)]
+    assert ordering.places(spark.createDataFrame([], "k long, v double"), "v", "k").count() == 0
+    found = catalog.QUERIES["stable_sort_all"](spark, sf_dir).collect()
+    assert [x["place"] for x in found] == list(range(1, spark.read.parquet(f"{sf_dir}/orders.parquet").count() + 1))
