@@ -1,7 +1,9 @@
 """Secret scans: how many guesses a value takes that stands where a credential would.
 
-:data:`CONTEXT` finds values after names such as ``password=`` or ``token:``,
-in URLs with a password, and in well-known key formats.  Each value is cut into
+:data:`CONTEXT` finds values after names such as ``password=``, ``token:``,
+``accessToken:`` or ``signing_key=`` (keys of tables and the like, ``_PLAIN_KEYS``,
+are left out), after a scheme's word (``Authorization: Basic``), quoted ones with
+blanks, in URLs with a password, and in well-known key formats.  Each value is cut into
 dictionary words, dates, repeats, keyboard walks and brute-force spans so that
 the sum of their costs (log2 of guesses, plus ``SPLIT_BITS`` a segment) is
 least; values of ``THRESHOLD_BITS`` or more are secrets, cheaper ones
@@ -44,7 +46,7 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY = {c: (r, x + r * 0.5) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _ALPHABETS: tuple[tuple[frozenset[str], float], ...] = (
-    (frozenset("-_./"), 2.0),
+    (frozenset("-_./ "), 2.0),
     (frozenset("0123456789"), math.log2(10)),
     (frozenset("0123456789abcdef"), 4.0),
     (frozenset("0123456789ABCDEF"), 4.0),
@@ -58,16 +60,23 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3
 _PERIODS = 8
 
 _NAME = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?"
+#: Names in ``key`` that no credential has.
+_PLAIN_KEYS = "primary foreign public partition sort cache row group index lookup map dict hash join unique natural surrogate order object registry shortcut hot answer".split()
+_KEYS = "".join(rf"(?<!\b{w}[_-])(?<!_{w}[_-])(?<!\b{w})(?<!_{w})" for w in _PLAIN_KEYS) + r"(?:(?<=[A-Za-z0-9][_-])key|(?-i:(?<=[a-z0-9])Key))"
+#: A part in camel case before the name.
+_CAMEL = r"(?-i:[A-Za-z0-9]{0,63}[a-z0-9](?=[A-Z]))?"
+_SCHEME = r"(?:(?:bearer|basic|digest|token|negotiate|ntlm|apikey)[ \t]+)?"
 #: Groups: name and value; AWS-like, hub-like and URL forms have a value only.
 CONTEXT = re.compile(
-    rf"(?:(?<![A-Za-z])(?P<name>(?:[A-Za-z0-9]+[_.-])*(?:{_NAME}))[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:bearer[ \t]+)?(?:\"(?P<q>[^\"\s]+)\"|'(?P<a>[^'\s]+)'|(?P<v>[^\s\"',;<>|]+)))"
+    rf"(?:(?<![A-Za-z])(?P<name>(?:[A-Za-z0-9]+[_.-])*{_CAMEL}(?:{_NAME}|[A-Za-z0-9]{{0,63}}secret|{_KEYS}))[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*"
+    rf"(?:\"{_SCHEME}(?:(?P<q>[^\"\s]+)\"|(?P<qb>[^\"\s][^\"\r\n]*)\"(?![A-Za-z0-9]))|'{_SCHEME}(?:(?P<a>[^'\s]+)'|(?P<ab>[^'\s][^'\r\n]*)'(?![A-Za-z0-9]))|{_SCHEME}(?:\"(?P<sq>[^\"\s]+)\"|'(?P<sa>[^'\s]+)'|(?P<v>[^\s\"',;<>|]+))))"
     r"|(?<![A-Za-z0-9])(?P<aws>AKIA[0-9A-Z]{16})(?![0-9A-Z])"
     r"|(?<![A-Za-z0-9])(?P<hub>gh[pousr]_[0-9A-Za-z]{36,})"
     r"|://[^\s/:@]+:(?P<url>[^\s/@]+)@"
     r"|(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)",
     re.IGNORECASE,
 )
-_PREFILTER = rf"(?:{_NAME})[\"']?[ \t]*[:=]|AKIA[0-9A-Z]{{16}}|gh[pousr]_|://[^\s/:@]+:|PRIVATE KEY"
+_PREFILTER = rf"(?:{_NAME}|secret|key)[\"']?[ \t]*[:=]|AKIA[0-9A-Z]{{16}}|gh[pousr]_|://[^\s/:@]+:|PRIVATE KEY"
 
 
 def segments(value: str) -> list[tuple[int, int, float, str]]:
@@ -138,7 +147,7 @@ def guess_bits(value: str) -> float:
 def find(text: str) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, name, bits) of each secret of a text."""
     for m in CONTEXT.finditer(text):
-        g = next(k for k in ("q", "a", "v", "aws", "hub", "url", "pem") if m.group(k) is not None)
+        g = next(k for k in ("q", "qb", "a", "ab", "sq", "sa", "v", "aws", "hub", "url", "pem") if m.group(k) is not None)
         value = m.group(g)
         bits = guess_bits(value)
         if bits >= THRESHOLD_BITS:

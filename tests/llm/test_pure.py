@@ -118,6 +118,18 @@ def test_find_secrets():
     assert secrets.masked("") == ""
 
 
+def test_find_secrets_by_camel_case_keys_schemes_and_in_quotes_with_blanks():
+    v = "x8Kq27LmPz01Rt"
+    found = ['{"accessToken": "%s"}', "clientSecret=%s", "dbPassword: '%s'", "SECRET_KEY = '%s'", "secret_key=%s", "encryption_key: %s", "signingKey=%s", "appsecret=%s", "Authorization: Basic %s", '"Authorization": "Bearer %s"', "AUTH: token %s"]
+    for form in found:
+        assert secrets.masked(form % v) == form % secrets.MASK, form
+        assert secrets._suspects(pa.array([form % v])) == [0], form
+    assert secrets.masked('passphrase = "blue kettle sings at noon"') == f'passphrase = "{secrets.MASK}"'
+    for text in (f"primary_key={v}", f"sortKey={v}", f"monkey: {v}", f"maxTokens: {v}", 'password: "your password here"', "password: 'it isn't there yet", "Authorization: Basic", "secret_key=changeme"):
+        assert secrets.masked(text) == text
+    assert secrets.masked("Aa0" * 1_000 + " key=") == "Aa0" * 1_000 + " key="
+
+
 def test_wu_manber_equals_brute_force():
     r = random.Random(3)
     for m in (1, 2, 3, 5, 10):
