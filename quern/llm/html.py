@@ -1,7 +1,9 @@
 """HTML extraction from flat text blocks.
 
 A page is read as a flat list of text blocks (text between block-level tags);
-scripts, styles, comments and the like hold no text.  Each block is described
+scripts, styles, comments and the like hold no text.  Of these, an element
+that closes itself is empty, and one without an end tag loses its tag alone;
+only script and style run to the end of the page, as browsers have it.  Each block is described
 by the word count and link density of itself and its two neighbours, and a
 decision tree decides whether it is content.  The tree is grown here, by Gini
 impurity, from the small labelled table :data:`LABELLED`.
@@ -25,9 +27,14 @@ from pyspark.sql import functions as F
 
 from quern.llm import textnp as T
 
-_HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head")
+_HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:" + "|".join(rf"(?P<h{k}>{t})\b[^>]*>.*?(?:</{t}\s*>|$)" for k, t in enumerate(_HIDDEN)) + r")|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)\b[^>]*(?:>|$)|<[!?][^>]*(?:>|$)", re.IGNORECASE | re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)\b[^>]*(?:>|$)|<[!?][^>]*(?:>|$)", re.IGNORECASE | re.DOTALL)
+_OPEN, _END = ({t: re.compile(rf"<{c}{t}\b[^>]*>", re.IGNORECASE) for t in _HIDDEN} for c in ("", "/"))
+#: A tag that closes itself; the slash isn't part of an attribute without quotes.
+_EMPTY = re.compile(r"(?:^<[a-z]+|[\s\"'])/>$", re.IGNORECASE)
+#: Tags that an unclosed title ends at.
+_AFTER_TITLE = re.compile(r"<(?:/?(?:head|body|div|p|h[1-6]|ul|ol|table|nav|main|article|section|header|footer)|meta|link|base|script|style)\b", re.IGNORECASE)
 FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links")
 #: (prev words, prev link density, words, link density, next words, next link density, content)
 LABELLED: tuple[tuple[float, ...], ...] = (
@@ -102,11 +109,29 @@ def train(labelled=LABELLED, depth: int = DEPTH) -> Tree:
     return Tree(table[:, :-1], table[:, -1], depth)
 
 
+def _hidden_end(page: str, tag: str, raw: str, at: int, unclosed: set[str]) -> int:
+    """Where a hidden element ends whose tag ends at ``at``; unclosed: the names without an end tag from here on."""
+    code = tag in ("script", "style")
+    empty = bool(_EMPTY.search(raw))
+    if empty and not code:
+        return at
+    end = None if tag in unclosed else _END[tag].search(page, at)
+    if end is None:
+        unclosed.add(tag)
+    if empty and (end is None or _OPEN[tag].search(page, at, end.start())):
+        return at
+    if tag == "title":
+        stop = _AFTER_TITLE.search(page, at, end.start() if end else len(page))
+        return stop.start() if stop else end.end() if end else len(page)
+    return end.end() if end else len(page) if code else at
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each text block of a page."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked, depth, at = 0, 0, 0
+    unclosed: set[str] = set()
 
     def add(text: str) -> None:
         nonlocal linked
@@ -122,20 +147,21 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             out.append((" ".join(words), len(words), min(linked, len(words))))
         linked, parts = 0, []
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         tag = m.group("tag")
         if tag:
             tag = tag.lower()
-            if tag == "a":
+            if tag in _HIDDEN and not m.group("close"):
+                close()
+                at = _hidden_end(page, tag, m.group(), at, unclosed)
+            elif tag == "a":
                 depth = 0 if m.group("close") else 1
             elif tag not in _INLINE:
                 close()
                 depth = 0
-        elif m.lastgroup:
-            close()
     add(page[at:])
     close()
     return out

@@ -248,6 +248,18 @@ def test_blocks_and_tree():
         html.blocks(odd)
 
 
+def test_hidden_elements_without_an_end_lose_no_text():
+    texts = lambda page: [t for t, _, _ in html.blocks(page)]
+    body = "<p>one text</p><p>two text</p>"
+    for head in ("<head><title>t</title><meta charset=utf-8>", "<head><title>t</title><script>var a='<p>no</p>'</script><body>", "<head><title>t", "<html><head><meta x><title>t<body>", "<head><title>t</title></head>"):
+        assert texts(head + body) == ["one text", "two text"], head
+    for odd in ('<svg class="i"/>', "<svg />", "<svg/>", '<iframe src="x" />', "<iframe src=x>", "<template>", "<select>", "<svg>", '<script src="x"/>', "<svg><path/></svg>", "<svg/><svg><title>no</title></svg>", "<script>x</script >", "<iframe src=http://x/></iframe>"):
+        assert texts(f"<div>{odd}</div>{body}") == ["one text", "two text"], odd
+    assert texts(body + '<script src="a"/>var x</script><p>three') == ["one text", "two text", "three"]
+    assert texts(body + "<script>var x = 1;") == texts(body + "<style>p {}") == ["one text", "two text"]
+    html.blocks("<svg>" * 20_000 + "<iframe/>" * 20_000 + "<title>" * 20_000)
+
+
 def test_tree_held_out_accuracy():
     table = np.array(html.LABELLED)
     right = 0
