@@ -21,10 +21,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of whitespace-separated words.
 NONSPACE = ~SPACE
-#: Bytes of letters and digits; every byte beyond ASCII counts as a letter.
+#: Bytes of letters and digits; every byte beyond ASCII counts as a letter, but :func:`split` takes the signs of ``SIGNS`` as separators.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: Punctuation and spaces beyond ASCII, by first and last code point; joiners and soft hyphens are part of words.
+SIGNS = (
+    *((0xA0, 0xA9), (0xAB, 0xAC), (0xAE, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x200B), (0x2010, 0x205F), (0x2E00, 0x2E7F)),
+    *((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)),
+)
+_SIGN = np.zeros(1 << 16, bool)
+for _a, _b in SIGNS:
+    _SIGN[_a : _b + 1] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[sorted({chr(_c).encode()[0] for _a, _b in SIGNS for _c in range(_a, _b + 1)})] = True
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -89,6 +100,20 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _without_signs(data: np.ndarray, w: np.ndarray) -> None:
+    """Takes the bytes of SIGNS out of the word bytes ``w``."""
+    i = np.flatnonzero(_LEAD[data])
+    three = data[i] >= 0xE0
+    i = i[i + 1 + three < len(data)]
+    three = data[i] >= 0xE0
+    b, c = data[i + 1].astype(np.int32) & 63, data[i + 1 + three].astype(np.int32) & 63
+    lead = data[i].astype(np.int32)
+    good = _SIGN[np.where(three, (lead & 15) << 12 | b << 6 | c, (lead & 31) << 6 | b)]
+    i, three = i[good], three[good]
+    w[i] = w[i + 1] = False
+    w[i[three] + 2] = False
+
+
 def split(data: np.ndarray, offs: np.ndarray, wordish: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte) of each word, and for each row the index of its first word, with the total at the end."""
     n = len(data)
@@ -96,6 +121,8 @@ def split(data: np.ndarray, offs: np.ndarray, wordish: np.ndarray) -> tuple[np.n
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
     w = wordish[data]
+    if wordish is ALNUM:
+        _without_signs(data, w)
     row = np.zeros(n + 1, bool)
     row[offs] = True
     start = w.copy()

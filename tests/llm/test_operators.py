@@ -295,3 +295,11 @@ def test_pipeline(spark, sf_dir, odd, benchmark, labels, tmp_path):
 def test_queries_run(spark, sf_dir):
     assert sorted(queries.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate("suffix_dedup quality_rules bpe secrets html_extract simhash decontaminate sharding toxicity token_ids".split(), 1))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_decontamination_finds_typographic_copies(spark):
+    item = 'why don\'t they say "it\'s late" when the clock - at last - strikes twelve'
+    copy = item.replace('say "', "say “").replace('late"', "late”").replace("'", "’").replace(" - ", " — ")
+    docs = spark.createDataFrame([(1, "x " + copy + " y", "en", "s", 9), (2, prose(40), "en", "s", 9)], DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]

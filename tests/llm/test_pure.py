@@ -130,6 +130,22 @@ def test_find_secrets_by_camel_case_keys_schemes_and_in_quotes_with_blanks():
     assert secrets.masked("Aa0" * 1_000 + " key=") == "Aa0" * 1_000 + " key="
 
 
+def test_typographic_signs_separate_words():
+    plain = 'he said "don\'t go - not now" to me, and then left the house of 5 men'
+    fancy = "he said “don’t\u00a0go — not now” to\u2009me， and　then left the house of 5 men…"
+    a, b = (T.word_hashes(pa.array([t]))[0].tolist() for t in (plain, fancy))
+    assert a == b
+    assert len(T.word_hashes(pa.array(["é–à", "naïve", "ß½", "日本語", "–", "…", "\u2014x\u00ab", "Â", "co\u00adop"]))[0]) == 2 + 1 + 1 + 1 + 0 + 0 + 1 + 1 + 1
+    r = random.Random(8)
+    pool = "ab é日、“”’—… ½ºªµ×÷\u00ad\u200d😀々〇！Ａ"
+    signs = {chr(c) for x, y in T.SIGNS for c in range(x, y + 1)}
+    for _ in range(300):
+        t = "".join(r.choice(pool) for _ in range(30))
+        d, offs = T.buffer_of(pa.array([t]))
+        s, e, _ = T.split(d, offs, T.ALNUM)
+        assert [d[x:y].tobytes().decode() for x, y in zip(s, e)] == [w for w in "".join(" " if c in signs else c for c in t).split(" ") if w]
+
+
 def test_wu_manber_equals_brute_force():
     r = random.Random(3)
     for m in (1, 2, 3, 5, 10):
