@@ -7,11 +7,17 @@ Spark SQL: no user function, no shuffle, one pass over ``doc_id`` and ``text``.
 
 Metrics: length (words, mean word length), symbols (marks and capitals),
 stop-words (share of the words, in four languages), variety (log of distinct
-words over log of words) and lines (repeated lines, lines without an end).
-
-Defined results: a null text counts as an empty one; an empty text has ratio 0
-everywhere and fails ``words``; null ids and repeated rows are judged row by
-row; other columns are ignored; an empty table gives an empty result.
+words over log of words) and lines (repeated lines, lines without an end mark).
+Ratios that mean little for a few words are smoothed with constants instead of
+being switched off below some length, so that one formula holds for all sizes:
+:data:`SMOOTH` words are added to both sides of ``variety``, one stop-word in
+twenty words to ``stop_word_ratio``, one ended line to ``open_line_ratio``.
+
+Defined results: a null text counts as an empty one; an empty text has no
+words, variety 1, stop-word ratio 1/20, 0 for the rest, and fails ``words`` and
+``word_length`` alone; null ids and repeated rows are judged row by row;
+doc_id keeps its type; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +33,20 @@ STOP_WORDS = (
 ).split()
 MARKS = "#*$%&|!~^_={}<>\\@"
 PUNCTUATION = ".,;:!?\"()[]«»“”¿¡\t\r\n"
+#: What a finished line ends with.
+END_MARKS = ".!?:;…»”\"')]。！？"
+#: Words added to the distinct and to all words of ``variety``.
+SMOOTH = 10
 #: (rule, metric, least, most)
 RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("words", "n_words", 3, None),
+    ("words", "n_words", 1, None),
     ("word_length", "mean_word_length", 1.5, 20),
     ("marks", "mark_ratio", None, 0.08),
     ("capitals", "capital_ratio", None, 0.5),
-    ("stop_words", "stop_word_ratio", 0.02, None),
-    ("variety", "variety", 0.72, None),
+    ("stop_words", "stop_word_ratio", 0.025, None),
+    ("variety", "variety", 0.78, None),
     ("repeated_lines", "repeated_line_ratio", None, 0.6),
+    ("open_lines", "open_line_ratio", None, 0.6),
 )
 
 
@@ -46,14 +57,14 @@ def _quoted(s: str) -> str:
 def metrics(docs: DataFrame) -> DataFrame:
     """doc_id and the metrics of each row."""
     stops = ", ".join(_quoted(w) for w in sorted(set(STOP_WORDS)))
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    flat = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     split = flat.selectExpr(
         "doc_id",
         "length(t) as n_chars",
         f"length(t) - length(translate(t, {_quoted(MARKS)}, '')) as marks",
         "length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', '')) as capitals",
         f"filter(split(translate(lower(t), {_quoted(PUNCTUATION)}, {_quoted(' ' * len(PUNCTUATION))}), ' '), w -> w <> '') as words",
-        "filter(split(t, '\\n'), l -> trim(l) <> '') as lines",
+        "filter(split(replace(t, '\r', ''), '\\n'), l -> trim(l) <> '') as lines",
     )
     counted = split.selectExpr(
         "doc_id",
@@ -66,6 +77,7 @@ def metrics(docs: DataFrame) -> DataFrame:
         "size(array_distinct(words)) as kinds",
         "size(lines) as n_lines",
         "size(array_distinct(lines)) as line_kinds",
+        f"size(filter(lines, l -> instr({_quoted(END_MARKS)}, right(rtrim(l), 1)) = 0)) as open_lines",
     )
     return counted.selectExpr(
         "doc_id",
@@ -75,9 +87,10 @@ def metrics(docs: DataFrame) -> DataFrame:
         "case when n_words = 0 then 0d else round(letters / cast(n_words as double), 6) end as mean_word_length",
         "case when n_chars = 0 then 0d else round(marks / cast(n_chars as double), 6) end as mark_ratio",
         "case when letters = 0 then 0d else round(capitals / cast(letters as double), 6) end as capital_ratio",
-        "case when n_words = 0 then 0d else round(stops / cast(n_words as double), 6) end as stop_word_ratio",
-        "case when n_words < 20 then 1d else round(ln(kinds) / ln(n_words), 6) end as variety",
+        "round((stops + 1) / (n_words + 20d), 6) as stop_word_ratio",
+        f"round(ln(kinds + {SMOOTH}) / ln(n_words + {SMOOTH}), 6) as variety",
         "case when n_lines = 0 then 0d else round(1 - line_kinds / cast(n_lines as double), 6) end as repeated_line_ratio",
+        "round(open_lines / (n_lines + 1d), 6) as open_line_ratio",
     )
 
 
@@ -110,23 +123,24 @@ def _oracle() -> str:
     stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     named = ", ".join(f"case when {_broken(m, a, b)} then '{name}' end" for name, m, a, b in RULES)
     broken = " or ".join(_broken(m, a, b) for _, m, a, b in RULES)
-    marks = MARKS.replace("'", "''")
+    marks, ends = MARKS.replace("'", "''"), END_MARKS.replace("'", "''")
     return f"""
 with flat as (select doc_id, coalesce(text, '') as t from documents),
 split as (select doc_id, length(t) as n_chars, length(t) - length(translate(t, '{marks}', '')) as marks,
   length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', '')) as capitals,
   list_filter(string_split(translate(lower(t), {_duck(PUNCTUATION)}, '{" " * len(PUNCTUATION)}'), ' '), lambda w: w <> '') as words,
-  list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '') as lines from flat),
+  list_filter(string_split(replace(t, chr(13), ''), chr(10)), lambda l: trim(l) <> '') as lines from flat),
 counted as (select doc_id, n_chars, marks, capitals, len(words) as n_words, length(array_to_string(words, '')) as letters,
   len(list_filter(words, lambda w: w in ({stops}))) as stops, len(list_distinct(words)) as kinds,
-  len(lines) as n_lines, len(list_distinct(lines)) as line_kinds from split),
+  len(lines) as n_lines, len(list_distinct(lines)) as line_kinds,
+  len(list_filter(lines, lambda l: instr('{ends}', right(rtrim(l), 1)) = 0)) as open_lines from split),
 m as (select doc_id, n_chars::bigint as n_chars, n_words::bigint as n_words, n_lines::bigint as n_lines,
   case when n_words = 0 then 0 else round(letters / n_words::double, 6) end as mean_word_length,
   case when n_chars = 0 then 0 else round(marks / n_chars::double, 6) end as mark_ratio,
   case when letters = 0 then 0 else round(capitals / letters::double, 6) end as capital_ratio,
-  case when n_words = 0 then 0 else round(stops / n_words::double, 6) end as stop_word_ratio,
-  case when n_words < 20 then 1.0::double else round(ln(kinds) / ln(n_words), 6) end as variety,
-  case when n_lines = 0 then 0 else round(1 - line_kinds / n_lines::double, 6) end as repeated_line_ratio from counted)
+  round((stops + 1) / (n_words + 20)::double, 6) as stop_word_ratio, round(ln(kinds + {SMOOTH}) / ln(n_words + {SMOOTH}), 6) as variety,
+  case when n_lines = 0 then 0 else round(1 - line_kinds / n_lines::double, 6) end as repeated_line_ratio,
+  round(open_lines / (n_lines + 1)::double, 6) as open_line_ratio from counted)
 select *, concat_ws(',', {named}) as failed, not ({broken}) as keep from m"""
 
 

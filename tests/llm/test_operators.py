@@ -1,5 +1,6 @@
 """The ten operators and the pipeline on odd tables, against brute force."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -122,9 +123,25 @@ def test_quality(docs, odd, empty):
     got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
     assert quality.assess(docs).count() == len(TEXTS) and quality.assess(empty).count() == 0
     assert not got[7]["keep"] and not got[8]["keep"] and "words" in got[8]["failed"]
+    assert got[8]["failed"] == "words,word_length" and got[8]["variety"] == 1
     assert rows(quality.assess(odd)) == rows(quality.assess(docs))
 
 
+def test_quality_rules_hold_alike_below_and_above_twenty_words(spark):
+    repeated = [" ".join(["the", "same"] * (n // 2) + ["word"]) for n in (6, 16, 18, 20, 22, 60)]
+    varied = [" ".join(f"{c}bcd" for c in "the quick fox of a day".replace(" ", "")[:n]) + " the." for n in (1, 3, 10, 17)]
+    table = "a | b\nc | d\ne of the | f\ng | h"
+    texts = [*enumerate(repeated), *enumerate(varied, 10), (20, table), (21, "A line.\r\nAnother of the lines.\r\n"), (22, "Word")]
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    values = [got[k]["variety"] for k in range(6)]
+    assert values == sorted(values, reverse=True) and values[1] < 0.78 < values[0]
+    assert all("variety" not in got[k]["failed"] for k in (10, 11, 12, 13, 22))
+    assert "open_lines" in got[20]["failed"] and got[21]["open_line_ratio"] == 0 and got[21]["keep"] and got[22]["keep"]
+    for r in got.values():
+        text = dict(texts)[r["doc_id"]]
+        assert r["variety"] == round(math.log(len(set(text.lower().replace(".", " ").replace("|", "|").split())) + 10) / math.log(len(text.replace(".", " ").split()) + 10), 6)
+
+
 def test_bpe(docs, odd, empty):
     b = bpe.Bpe.of(bpe.VOCABULARY)
     got = bpe.encode_documents(docs, leaf=64).collect()
