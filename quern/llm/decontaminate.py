@@ -2,8 +2,8 @@
 
 Symbols are words (runs of letters and digits, case folded), so that layout
 and punctuation don't hide a passage.  The test strings are all windows of
-``WINDOW`` words of every benchmark item (an item of ``LEAST`` to ``WINDOW``
-words is one string of its own).  Strings of one length share a search with
+``WINDOW`` words of every benchmark item (a shorter item, down to one word, is
+one string of its own; ``least`` can ask for longer ones).  Strings of one length share a search with
 blocks of two words: the shift table says how far any position may be skipped,
 a shift of 0 leads to the bucket of strings with that suffix block, and the
 strings of the bucket are compared word by word.  All texts of a batch are
@@ -12,16 +12,19 @@ searched at once, each lane skipping on its own.
 Defined results: null and empty texts and items match nothing; items without
 an id are ignored, documents without one are reported as null (and dropped by
 :func:`drop_contaminated` like others); repeated documents are judged row by
-row, repeated items are one item; items shorter than ``LEAST`` words are too
-common to search for; extra columns are carried along or ignored.
+row; rows of one item are one item, whose strings count once; item_id must be
+an integer, doc_id keeps its type; extra columns are carried along or ignored.
 The tables of the benchmark are held by every worker: the benchmark's size is
-checked against ``MAX_WINDOWS``, and a larger one is searched in several
-passes over the documents.
+counted in words and checked against ``MAX_WINDOWS``, and a larger one is
+searched in several passes over the documents.  An item's texts stay in one
+pass however large they are, so that passes never change a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm import textnp as T
 
 WINDOW = 10
-LEAST = 5
+LEAST = 1
 MAX_WINDOWS = 2_000_000
 
 
@@ -115,13 +118,15 @@ def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
 
 
 def _passes(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    """Runs of items, ordered by id, of up to MAX_WINDOWS words; an item is never parted."""
     parts, size = [[]], 0
-    for item in items:
-        n = len(item[1].split())
+    for _, rows in groupby(items, key=itemgetter(0)):
+        texts = list(rows)
+        n = len(T.word_hashes(pa.array([t for _, t in texts], pa.string()))[0])
         if size + n > MAX_WINDOWS and parts[-1]:
             parts.append([])
             size = 0
-        parts[-1].append(item)
+        parts[-1] += texts
         size += n
     return parts
 
@@ -142,7 +147,7 @@ def _occurrences(column: pa.Array, searches: list[WuManber]) -> tuple[np.ndarray
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, n_hits (windows in common), first_word (of the first) of each row of docs and item that share a test string."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, kind = docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
     out = None
     for items in _passes(_items(benchmark)):
         shared = spark.sparkContext.broadcast(test_strings(items, window, least))
@@ -160,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
                     n = np.diff(np.append(at, len(row)))
                     yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(row[at])), "item_id": pa.array(item[at]), "n_hits": pa.array(n), "first_word": pa.array(word[at])})
 
-        found = texts.mapInArrow(run, "doc_id long, item_id long, n_hits long, first_word long")
+        found = texts.mapInArrow(run, f"doc_id {kind}, item_id long, n_hits long, first_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -190,15 +195,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ')"
 
 
-def _windows(table: str, key: str, length: str) -> str:
-    return f"""select {key}, i - 1 as pos, array_to_string(w[i:i+{length}-1], ' ') as s from (select {key}, w, unnest(generate_series(1, len(w) - {length} + 1)) as i from {table} where len(w) >= {length})"""
+def _word_class() -> str:
+    """Letters and digits of :func:`textnp.split` as a class: all beyond ASCII but SIGNS."""
+    parts, at = [], 0x80
+    for a, b in sorted(T.SIGNS):
+        if at < a:
+            parts.append(f"\\x{{{at:X}}}-\\x{{{a - 1:X}}}")
+        at = max(at, b + 1)
+    return "[a-zA-Z0-9" + "".join(parts) + f"\\x{{{at:X}}}-\\x{{10FFFF}}]+"
 
 
+_WORDS = f"regexp_extract_all({_FOLD}, '{_word_class()}')"
 ORACLE = f"""
-with dw as materialized (select doc_id, row_number() over () as r, regexp_extract_all({_FOLD}, '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where text is not null),
-bw as materialized (select distinct item_id, regexp_extract_all({_FOLD}, '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+') as w from benchmark where text is not null and item_id is not null),
-bs as (""" + " union ".join(
-    f"select item_id, {m} as m, s from ({_windows(f'(select * from bw where len(w) {op} {m})', 'item_id', str(m))})" for m, op in [(WINDOW, ">="), *((k, "=") for k in range(LEAST, WINDOW))]
-) + f"""),
-ds as (""" + " union all ".join(f"select doc_id, r, pos, {m} as m, s from ({_windows('dw', 'doc_id, r', str(m))})" for m in (WINDOW, *range(LEAST, WINDOW))) + """)
+with dw as materialized (select doc_id, row_number() over () as r, {_WORDS} as w from documents where text is not null),
+bw as materialized (select item_id, w, least(len(w), {WINDOW}) as m from (select distinct item_id, {_WORDS} as w from benchmark where text is not null and item_id is not null) where len(w) >= {LEAST}),
+bs as materialized (select distinct item_id, m, array_to_string(w[i:i+m-1], ' ') as s from (select *, unnest(generate_series(1, len(w) - m + 1)) as i from bw)),
+sizes as (select distinct m from bs),
+ds as (select doc_id, r, i - 1 as pos, m, array_to_string(w[i:i+m-1], ' ') as s from (select *, unnest(generate_series(1, len(w) - m + 1)) as i from dw, sizes where len(w) >= m))
 select doc_id, item_id, count(*)::bigint as n_hits, min(pos)::bigint as first_word from ds join bs using (m, s) group by doc_id, r, item_id"""

@@ -248,10 +248,15 @@ def test_decontamination(docs, odd, empty, benchmark):
     assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
 
 
-def test_large_benchmarks_take_several_passes(docs, benchmark, monkeypatch):
-    want = rows(decontaminate.contaminated(docs, benchmark))
-    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 5)
-    assert rows(decontaminate.contaminated(docs, benchmark)) == want
+def test_large_benchmarks_take_several_passes(spark, docs, benchmark, monkeypatch):
+    more = benchmark.union(spark.createDataFrame([(1, COPY[:300]), (8, PASSAGE[50:250]), (8, prose(20)), (9, "changed"), (2, PASSAGE)], benchmark.schema))
+    want = rows(decontaminate.contaminated(docs, more))
+    assert want == brute_contaminated(TEXTS, [tuple(r) for r in more.collect()], decontaminate.WINDOW, decontaminate.LEAST)
+    assert any(r[1] == 9 for r in want) and len({(r[0], r[1]) for r in want if r[0] not in (None, 11)}) == len([r for r in want if r[0] not in (None, 11)])
+    for most in (5, 12, 60):
+        monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
+        assert len(decontaminate._passes(decontaminate._items(more))) > 1
+        assert rows(decontaminate.contaminated(docs, more)) == want
 
 
 def test_sharding(spark, docs, odd, empty, tmp_path):
