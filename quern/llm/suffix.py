@@ -213,11 +213,8 @@ def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, anchor: int
     n = np.diff(np.append(a, len(s)))
     lo = s[a]
     hi = lo + n + window - 1
-    pw, inv = T._powers(len(h) + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * pw[: len(h)], out=sums[1:])
-        code = T.mix((sums[hi] - sums[lo]) * inv[lo] + ((hi - lo) * 64 + place[lo] - lo).astype(np.uint64))
+        code = T.mix(T.span_sums(h, lo, hi) + ((hi - lo) * 64 + place[lo] - lo).astype(np.uint64))
     return {"anchor": grams[place[lo]].view(np.int64), "row": row[lo], "at": lo - first[:-1][row[lo]], "n": n, "segment": code.view(np.int64)}
 
 

@@ -3,7 +3,9 @@
 Works on the UTF-8 buffer of a whole batch, so that no Python string is made
 for the words of a text.  A *word* is a run of word bytes (see ``ALNUM`` and
 ``NONSPACE``); words never cross rows.  Null and empty rows hold no words.
-Hashes are 64 bit polynomials over the bytes, mixed afterwards.
+Hashes are 64 bit polynomials over the bytes, mixed afterwards; they are made in
+blocks of ``BLOCK`` bytes, so that tables of powers stay that long however long
+a text or a word is.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -39,18 +44,18 @@ _LEAD[sorted({chr(_c).encode()[0] for _a, _b in SIGNS for _c in range(_a, _b + 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_pow = np.ones(1, U64)
-_inv = np.ones(1, U64)
+#: Values that are summed up at once.
+BLOCK = 1 << 21
+_tables: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 1 << 16)
+    """Powers of the base and of its inverse, n of each (BLOCK + 1 at most)."""
+    if not _tables or len(_tables[0]) < n:
+        size = BLOCK + 1 if n > 1 << 16 else 1 << 16
         with np.errstate(over="ignore"):
-            _pow = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, _BASE, U64)]), dtype=U64)
-            _inv = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, _INVERSE, U64)]), dtype=U64)
-    return _pow, _inv
+            _tables[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, x, U64)]), dtype=U64) for x in (_BASE, _INVERSE)]
+    return _tables[0], _tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +82,14 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def integer_ids(rows: DataFrame, column: str) -> Column:
+    """The id column as long; ids of another kind are refused, as casting would lose them."""
+    kind = rows.schema[column].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{column} must be an integer, not {kind.simpleString()}")
+    return F.col(column).cast("long").alias(column)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text (one row at least)."""
     index = batch.schema.get_field_index(column)
@@ -133,28 +146,44 @@ def split(data: np.ndarray, offs: np.ndarray, wordish: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
+def span_sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, plus: int = 0) -> np.ndarray:
+    """Polynomial over values[lo:hi] + plus of each span, wherever it stands; lo and hi don't fall."""
+    out = np.zeros(len(lo), U64)
+    i = 0
+    while i < len(lo):
+        j = max(i + 1, int(np.searchsorted(hi, lo[i] + BLOCK, "right")))
+        a, b = int(lo[i]), int(hi[j - 1])
+        if b - a > BLOCK:
+            # one span beyond a block: block by block, each moved to its place
+            total = 0
+            for k in range(a, b, BLOCK):
+                total += int(_sums(values[k : min(b, k + BLOCK)], plus)[-1]) * pow(_BASE, k - a, 1 << 64)
+            out[i] = U64(total & ((1 << 64) - 1))
+        else:
+            sums = _sums(values[a:b], plus)
+            with np.errstate(over="ignore"):
+                out[i:j] = (sums[hi[i:j] - a] - sums[lo[i:j] - a]) * _powers(b - a + 1)[1][lo[i:j] - a]
+        i = j
+    return out
+
+
+def _sums(values: np.ndarray, plus: int) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum((values.astype(U64) + U64(plus)) * _powers(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64 bit hash of each span of bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    n = len(data)
-    pw, inv = _powers(n + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * pw[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(U64))
+        return mix(span_sums(data, starts, ends, 1) + (ends - starts).astype(U64))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of k values; as many as len(h)-k+1, or none."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    pw, inv = _powers(len(h) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * pw[: len(h)], out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * inv[:n])
+    lo = np.arange(max(0, len(h) - k + 1))
+    return mix(span_sums(h, lo, lo + k))
 
 
 def word_hashes(column: pa.Array, wordish: np.ndarray = ALNUM, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -12,9 +12,11 @@ without loss, the words that no term can be within the edit bound of.
 
 A misspelt hit counts like an exact one, unless the word is known to be clean:
 it is in ``CLEAN_NEAR``, or in a clean row of the sample.  Each hit is scored
-from a window of context: words inside quotation marks or
-after a reporting verb count less, direct address counts more.  A document is
-toxic if the sum reaches ``THRESHOLD`` and ``PER_WORD`` a word.
+from its context: hits inside quotation marks count less (marks are paired
+within a paragraph, however long the quotation is; a mark without a partner
+quotes nothing), so do hits up to ``REPORT_WORDS`` words after a reporting
+verb, and direct address (``ADDRESS_WORDS`` before and after) counts more.  A
+document is toxic if the sum reaches ``THRESHOLD`` and ``PER_WORD`` a word.
 
 Defined results: null and empty texts score 0 and are kept; rows are judged
 one by one, so ties, repeated rows and null ids change nothing; extra columns
@@ -25,6 +27,8 @@ Without labelled rows only the built-in list is used.
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +59,11 @@ FUZZY_CHARS = 5
 WEIGHT = {"exact": 1.0, "fuzzy": 1.0, "quoted": 0.2, "reported": 0.4, "addressed": 1.5}
 REPORTING = frozenset("said says saying word words term terms called calls quote quoted quotes slur slurs insult insults wrote phrase phrases means".split())
 ADDRESS = frozenset("you your youre yours u ur yourself".split())
-_QUOTES = frozenset('"“”«»„‟‹›')
+REPORT_WORDS = 4
+ADDRESS_WORDS = 3
+#: Quotation marks, a straight one or what may close an opening one.
+_QUOTES = re.compile('\n|["“”«»„‟‹›]')
+_CLOSES = {"“": "”", "„": "“”‟", "‟": "”“", "«": "»", "»": "«", "‹": "›", "›": "‹", "”": "”"}
 _LEET = np.arange(256, dtype=np.uint8)
 for _a, _b in zip(b"013457", b"oieast", strict=True):
     _LEET[_a] = _b
@@ -216,17 +224,32 @@ class Matcher:
 # ---------------------------------------------------------------- scoring
 
 
-def context_weight(before: str, after: str) -> float:
-    """Weight of a hit from the text next to it: quotation lowers it, direct address raises it."""
-    quoted = bool(_QUOTES & set(before[-2:])) and bool(_QUOTES & set(after))
-    quoted |= sum(c in _QUOTES for c in before) % 2 == 1 and bool(_QUOTES & set(after))
-    left = [w.strip(".,:;!?'\"()").replace("'", "") for w in before.split()[-6:]]
-    right = [w.strip(".,:;!?'\"()").replace("'", "") for w in after.split()[:3]]
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(opening mark, closing mark) of the quotations of a text, in bytes of its UTF-8 form, in order."""
+    out: list[tuple[int, int]] = []
+    opened: tuple[int, str] | None = None
+    at = done = 0
+    for m in _QUOTES.finditer(text):
+        c = m.group()
+        at += len(text[done : m.start()].encode())
+        done = m.start()
+        if c == "\n":
+            opened = None
+        elif opened is None:
+            opened = (at, _CLOSES.get(c, c))
+        elif c in opened[1]:
+            out.append((opened[0], at))
+            opened = None
+    return out
+
+
+def context_weight(quoted: bool, left: list[str], right: list[str]) -> float:
+    """Weight of a hit between the words next to it."""
     if quoted:
         return WEIGHT["quoted"]
-    if REPORTING & set(left[-4:]):
+    if REPORTING.intersection(left[-REPORT_WORDS:]):
         return WEIGHT["reported"]
-    if ADDRESS & (set(left[-3:]) | set(right)):
+    if ADDRESS.intersection(left[-ADDRESS_WORDS:]) or ADDRESS.intersection(right[:ADDRESS_WORDS]):
         return WEIGHT["addressed"]
     return 1.0
 
@@ -242,13 +265,20 @@ def score_column(column: pa.Array, matcher: Matcher) -> tuple[np.ndarray, np.nda
     found = matcher.maybe(plain, starts, ends)
     rows = np.searchsorted(first, found, "right") - 1
     raw = data.tobytes() if len(found) else b""
+    marks: dict[int, tuple[list[int], list[int]]] = {}
     for i, r in zip(found.tolist(), rows.tolist(), strict=True):
         s, e = int(starts[i]), int(ends[i])
         hit = matcher.look(raw[s:e])
         if hit is None:
             continue
-        lo, hi = max(int(offs[r]), s - 80), min(int(offs[r + 1]), e + 80)
-        weight = context_weight(raw[lo:s].decode("utf-8", "ignore"), raw[e:hi].decode("utf-8", "ignore"))
+        if r not in marks:
+            pairs = quotations(raw[offs[r] : offs[r + 1]].decode("utf-8", "replace"))
+            marks = {r: ([a for a, _ in pairs], [b for _, b in pairs])}
+        k = bisect(marks[r][0], s - offs[r])
+        quoted = k > 0 and marks[r][1][k - 1] > s - offs[r]
+        near = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in range(max(int(first[r]), i - REPORT_WORDS), min(int(first[r + 1]), i + ADDRESS_WORDS + 1))]
+        here = min(REPORT_WORDS, i - int(first[r]))
+        weight = context_weight(quoted, near[:here], near[here + 1 :])
         score[r] += weight * (WEIGHT["exact"] if hit[1] == 0 else WEIGHT["fuzzy"])
         hits[r] += 1
         soft[r] += weight < 1
@@ -263,7 +293,7 @@ def is_toxic(score: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, place, doc, n): each context of a word in toxic rows, counts of words in the others."""
+    """(word, place, bad, clean): a row for each word of a toxic row, with its smallest context and its count; counts of words in the others."""
     for batch in batches:
         for part in T.pieces(batch, "text"):
             data, offs = T.buffer_of(part.column("text"))
@@ -278,19 +308,22 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, after = np.roll(h, 1), np.roll(h, -1)
             with np.errstate(over="ignore"):
                 place = T.mix(before * np.uint64(3) + after * np.uint64(5)).view(np.int64)
-            doc = np.asarray(part.column("doc").to_pylist(), np.int64)[row]
             raw = data.tobytes()
             i = np.flatnonzero(ok & bad)
+            i = i[np.lexsort((place[i], h[i], row[i]))]
+            new = np.ones(len(i), bool)
+            new[1:] = (h[i[1:]] != h[i[:-1]]) | (row[i[1:]] != row[i[:-1]])
+            many = np.diff(np.append(np.flatnonzero(new), len(i)))
+            i = i[new]
             _, j, count = np.unique(h[ok & ~bad], return_index=True, return_counts=True)
             j = np.flatnonzero(ok & ~bad)[j]
             k = np.concatenate([i, j])
             yield pa.record_batch(
                 {
                     "word": pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], pa.string()),
-                    "toxic": pa.array(np.r_[np.ones(len(i), np.int64), np.zeros(len(j), np.int64)]),
-                    "place": pa.array(place[k]),
-                    "doc": pa.array(doc[k]),
-                    "n": pa.array(np.r_[np.ones(len(i), np.int64), count]),
+                    "place": pa.array(place[k], mask=np.r_[np.zeros(len(i), bool), np.ones(len(j), bool)]),
+                    "bad": pa.array(np.r_[many, np.zeros(len(j), np.int64)]),
+                    "clean": pa.array(np.r_[np.zeros(len(i), np.int64), count]),
                 }
             )
 
@@ -298,26 +331,18 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA) -> tuple[list[tuple[str, bool]], list[str]]:
     """Terms (word, is_stem) that toxic rows use and others don't, and clean words next to a term.
 
-    A term is taken if it occurs in ``a`` toxic documents and as many different
-    contexts, hardly in clean rows, and if ``a`` such occurrences by chance
-    are improbable among all the terms looked at (``alpha``, Bonferroni).
-    Contexts keep copies of one text, documents keep one text's favourite word
-    from counting as evidence many times.
+    A term is taken if ``a`` toxic rows have it whose first contexts all
+    differ, hardly any clean row does, and if ``a`` such rows by chance are
+    improbable among all the terms looked at (``alpha``, Bonferroni).  One
+    context a row keeps copies of a text, and one text's favourite word, from
+    counting as evidence many times.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    rows = texts.join(F.broadcast(chosen.withColumnRenamed("doc_id", "doc")), "doc").select("doc", "text", "toxic")
-    seen = rows.mapInArrow(_observe, "word string, toxic long, place long, doc long, n long")
-    words = (
-        seen.groupBy("word")
-        .agg(
-            F.countDistinct(F.when(F.col("toxic") == 1, F.col("place"))).alias("places"),
-            F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs"),
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        )
-        .withColumn("a", F.least("places", "docs"))
-    )
+    rows = texts.join(F.broadcast(chosen.withColumnRenamed("doc_id", "doc")), "doc").select("text", "toxic")
+    seen = rows.mapInArrow(_observe, "word string, place long, bad long, clean long")
+    places = seen.groupBy("word", "place").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+    words = places.groupBy("word").agg(F.count("place").alias("a"), F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     lo, hi = STEM_CHARS
     forms = words.select(
         F.explode(F.concat(F.array(F.concat(F.col("word"), F.lit("$"))), F.expr(f"transform(sequence({lo}, greatest({lo}, least({hi}, length(word)))), i -> substring(word, 1, i))"))).alias("form"), "word", "a", "clean", "bad"
@@ -382,7 +407,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                     {"doc_id": part.column("doc_id").take(pa.array(i)), "score": pa.array(np.round(score[i], 6)), "n_hits": pa.array(hits[i]), "n_soft": pa.array(soft[i]), "n_words": pa.array(words[i]), "toxic": pa.array(np.ones(len(i), bool))}
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_hits long, n_soft long, n_words long, toxic boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_hits long, n_soft long, n_words long, toxic boolean")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

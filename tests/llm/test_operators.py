@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -325,3 +326,74 @@ def test_decontamination_finds_typographic_copies(spark):
     docs = spark.createDataFrame([(1, "x " + copy + " y", "en", "s", 9), (2, prose(40), "en", "s", 9)], DOCS)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def brute_toxic(texts, labels):
+    """Terms by counting in plain Python, hits by edit distance to every term, contexts by reading along."""
+    from test_pure import swapped
+
+    chosen = {i: x for i, _, x in labels if i is not None and x is not None}
+    seen, kinds = defaultdict(lambda: [set(), 0, 0]), set()
+    for i, t in texts:
+        if i in chosen and t:
+            w = re.findall(r"[a-z0-9]+", t.lower())
+            ring = [w[-1], *w, w[0]]
+            here = defaultdict(list)
+            for k, x in enumerate(w):
+                if len(x) >= 3:
+                    here[x].append((ring[k], ring[k + 2]))
+            for x, c in here.items():
+                seen[x][2 - chosen[i]] += len(c)
+                if chosen[i]:
+                    seen[x][0].add(frozenset(c) if len(c) > 1 else c[0])
+    forms = defaultdict(lambda: [0, 0, 0])
+    for x, (places, bad, clean) in seen.items():
+        for f in {x + "$", *(x[:n] for n in range(4, max(4, min(9, len(x))) + 1))}:
+            if len(f) >= 4:
+                forms[f] = [a + b for a, b in zip(forms[f], (len(places), clean, 1 if places else 0))]
+                if f.endswith("$"):
+                    kinds |= {f} if places else set()
+    bad, clean = sum(v[1] for v in seen.values() if v), sum(v[2] for v in seen.values())
+    terms = list(toxicity.SEED)
+    if bad and clean:
+        n = sum(1 for f, v in forms.items() if v[2] and (v[0] >= 4 or f.endswith("$")))
+        least = max(4, math.ceil((math.log(n) + math.log(100)) / -math.log(bad / (bad + clean))))
+        terms += [f[:-1] for f, v in forms.items() if f.endswith("$") and v[0] >= least and v[1] * 20 <= v[0]]
+    return terms, {x for x, v in seen.items() if v[2]}, swapped
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(21)
+    texts, labels = [], []
+    for i in range(240):
+        words = [r.choice(VOCABULARY) for _ in range(r.randrange(8, 40))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(r.randrange(len(words)), r.choice(["grubnik", "moron", "idoit", "vlonker"]))
+            words.insert(r.randrange(len(words)), "grubnik")
+        if i % 11 == 5:
+            words.insert(3, '"')
+            words.insert(5, r.choice(["moron", "idiot"]))
+            words.insert(6, '"')
+        texts.append((i, " ".join(words)))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    terms, clean, distance = brute_toxic(texts, labels)
+    assert "grubnik" in terms
+    want = set()
+    for i, t in texts:
+        score, words, quoted, k = 0.0, [w for w in t.split() if w != '"'], False, 0
+        for w in t.split():
+            if w == '"':
+                quoted = not quoted
+                continue
+            d = min((0 if w == x else 1 if len(x) >= 5 and abs(len(x) - len(w)) < 2 and distance(w, x) == 1 else 9) for x in terms)
+            if d == 0 or d == 1 and w not in clean | set(toxicity.CLEAN_NEAR):
+                left, right = words[max(0, k - 4) : k], words[k + 1 : k + 4]
+                score += 0.2 if quoted else 0.4 if toxicity.REPORTING & set(left) else 1.5 if toxicity.ADDRESS & set(left[-3:] + right) else 1.0
+            k += 1
+        if score >= 1.5:
+            want.add((i, round(score, 6)))
+    got = toxicity.toxic_documents(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {(x["doc_id"], x["score"]) for x in got.collect()} == want and len(want) > 40

@@ -283,3 +283,56 @@ def test_tree_held_out_accuracy():
         held = np.arange(len(table)) % 5 == k
         right += (html.train(table[~held]).predict(table[held][:, :-1]) == table[held][:, -1]).sum()
     assert right / len(table) > 0.85
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcé") for _ in range(r.choice([1, 3, 40, 900]))) for _ in range(300))
+    data, offs = T.buffer_of(pa.array([text, "x", "", text[:500]]))
+    starts, ends, _ = T.split(data, offs, T.ALNUM)
+    want = [sum((int(b) + 1) * pow(T._BASE, k, 1 << 64) for k, b in enumerate(data[s:e])) + int(e - s) & (1 << 64) - 1 for s, e in zip(starts, ends)]
+    want = T.mix(np.array(want, np.uint64))
+    rolled = T.rolling(want, 7)
+    for block in (50, 257, 1 << 21):
+        monkeypatch.setattr(T, "BLOCK", block)
+        assert (T.hashes(data, starts, ends) == want).all() and (T.rolling(want, 7) == rolled).all()
+    assert len(T.rolling(want, 10_000)) == 0
+
+
+def test_quotations_of_any_length():
+    m = toxicity.Matcher([(t, False) for t in toxicity.SEED], [])
+    filler = "and so it went on for many a day " * 30
+    texts = [f'"{filler}you idiot, you moron {filler}" he wrote', f"“{filler}you idiot, you moron {filler}”", f"{filler} you idiot, you moron {filler}", f'5" of\nyou idiot, you moron "', f"«x» you idiot «y» you moron «z»", "x" * 5000 + ' you idiot, you moron "'.replace('"', ""), f"„{filler}you idiot, moron“ z"]
+    score, hits, soft, words = toxicity.score_column(pa.array(texts), m)
+    assert toxicity.is_toxic(score, words).tolist() == [False, False, True, True, True, True, False]
+    assert hits.tolist() == [2] * 7 and soft.tolist() == [2, 2, 0, 0, 0, 0, 2]
+    assert toxicity.quotations('é"ab" «é»') == [(2, 5), (7, 11)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idoit", "scum", "you", "said", '"', "“", "”", "«", "»", "\n", "plain", "über", "crown", "-"]), max_size=25))
+def test_scores_equal_brute_force(words):
+    text = " ".join(words)
+    got = toxicity.score_column(pa.array([text]), toxicity.Matcher([(t, False) for t in toxicity.SEED], []))
+    real = [w for w in words if w[0].isalnum()]
+    score, k = 0.0, 0
+    for at, w in enumerate(words):
+        if not w[0].isalnum():
+            continue
+        if w in ("idiot", "idoit", "scum"):
+            # quoted: inside some pair, found by reading the paragraph from its start
+            begin = max((j + 1 for j in range(at) if words[j] == "\n"), default=0)
+            end = min((j for j in range(at, len(words)) if words[j] == "\n"), default=len(words))
+            j, inside = begin, False
+            while j < end:
+                if words[j] in toxicity._CLOSES or words[j] == '"':
+                    shut = next((x for x in range(j + 1, end) if words[x] in toxicity._CLOSES.get(words[j], words[j])), None)
+                    if shut is None:
+                        break
+                    inside |= j < at < shut
+                    j = shut
+                j += 1
+            left, right = real[max(0, k - 4) : k], real[k + 1 : k + 4]
+            score += 0.2 if inside else 0.4 if "said" in left else 1.5 if "you" in left[-3:] + right else 1.0
+        k += 1
+    assert got[0][0] == pytest.approx(score) and got[3][0] == len(real)
