@@ -1,25 +1,37 @@
 """Secret scans: how many guesses a value takes that stands where a credential would.
 
-:data:`CONTEXT` finds values after names such as ``password=``, ``token:``,
-``accessToken:`` or ``signing_key=`` (keys of tables and the like, ``_PLAIN_KEYS``,
-are left out), after a scheme's word (``Authorization: Basic``), quoted ones with
-blanks, in URLs with a password, and in well-known key formats.  Each value is cut into
-dictionary words, dates, repeats, keyboard walks and brute-force spans so that
-the sum of their costs (log2 of guesses, plus ``SPLIT_BITS`` a segment) is
-least; values of ``THRESHOLD_BITS`` or more are secrets, cheaper ones
-(``password=changeme``, ``token=aaaaaaaa``) are placeholders.  The dynamic
-program is linear in the length of the value.
+Contexts are names such as ``password=``, ``token:``, ``accessToken:`` or
+``signing_key=`` (keys of tables and the like, ``_PLAIN_KEYS``, are left out),
+a scheme's word (``Authorization: Basic``), quotes with blanks, URLs with a
+password, and well-known key formats.  The credential word is found first and
+its name is followed to the left by hand, so that a scan is linear in the text.
+Each value is cut into dictionary words, dates, repeats, keyboard walks and
+brute-force spans so that the sum of their costs (log2 of guesses, plus
+``SPLIT_BITS`` a segment) is least; values of ``THRESHOLD_BITS`` or more are
+secrets, cheaper ones (``password=changeme``, ``the secret: international``)
+are placeholders or prose.  References to where a secret is kept
+(``process.env.SECRET_KEY``, ``${TOKEN}``, ``get_password()``) aren't secrets.
+
+The dictionary ranks :data:`WORDS` first, then the words and parts of words of
+public subword vocabularies, which are ordered by how common they are; they
+are read by path, and ``words`` adds more.  The dynamic program is linear in
+the value and stops where a value is certain to cost ``MOST_BITS``, which is
+the most that is reported.
 
 Defined results: null and empty texts have no secrets; every occurrence is a
-row of its own, also within repeated rows; a null doc_id is reported as null;
-extra columns are carried by :func:`redact` and ignored by :func:`scan`.
+row of its own, also within repeated rows; doc_id keeps its type, a null one
+is reported as null; extra columns are carried by :func:`redact` (where
+``n_chars`` is an integer column, it is kept up to date) and ignored by
+:func:`scan`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import textnp as T
-
+from quern.llm.bpe import VOCABULARY
+
+#: Where the ranks of common words come from.
+VOCABULARIES = (VOCABULARY, VOCABULARY.replace("byte_bpe", "byte_bpe_multi"))
+#: Letters of the shortest and the longest word taken from there.
+WORD_CHARS = (4, 24)
+#: Words that the caller may add, at most.
+MOST_WORDS = 1_000_000
+MOST_BITS = 256.0
 THRESHOLD_BITS = 40.0
 SPLIT_BITS = 1.0
 MASK = "[SECRET]"
@@ -40,8 +60,36 @@ WORDS = (
     " january february march april june july august september october november december love money computer internet system config string"
     " correct horse battery staple orange apple banana cookie flower charlie jordan michael thomas robert daniel andrew george william"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, _RANK))
+
+
+class Dictionary:
+    """Ranks of common words, the commonest first."""
+
+    _made: dict[tuple, Dictionary] = {}
+
+    def __init__(self, paths: tuple[str, ...], extra: tuple[str, ...] = ()):
+        self.rank = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+        least, most = WORD_CHARS
+        for path in paths:
+            with open(path, "rb") as f:
+                for n, line in enumerate(f, len(WORDS) + 1):
+                    w = base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip().lower()
+                    if least <= len(w) <= most and w.isalpha():
+                        self.rank[w] = min(n, self.rank.get(w, n))
+        for w in extra:
+            w = w.lower()
+            if least <= len(w) <= 64:
+                self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.heads, self.tails = {w[:3] for w in self.rank}, {w[:-4:-1] for w in self.rank}
+
+    @classmethod
+    def of(cls, paths: tuple[str, ...] = VOCABULARIES, extra: tuple[str, ...] = ()) -> Dictionary:
+        if (paths, extra) not in cls._made:
+            cls._made[paths, extra] = cls(paths, extra)
+        return cls._made[paths, extra]
+
+
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY = {c: (r, x + r * 0.5) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -59,38 +107,84 @@ _ANY = 16.0
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 _PERIODS = 8
 
-_NAME = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?"
+_NAME = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|key"
 #: Names in ``key`` that no credential has.
-_PLAIN_KEYS = "primary foreign public partition sort cache row group index lookup map dict hash join unique natural surrogate order object registry shortcut hot answer".split()
-_KEYS = "".join(rf"(?<!\b{w}[_-])(?<!_{w}[_-])(?<!\b{w})(?<!_{w})" for w in _PLAIN_KEYS) + r"(?:(?<=[A-Za-z0-9][_-])key|(?-i:(?<=[a-z0-9])Key))"
-#: A part in camel case before the name.
-_CAMEL = r"(?-i:[A-Za-z0-9]{0,63}[a-z0-9](?=[A-Z]))?"
+_PLAIN_KEYS = frozenset("primary foreign public partition sort cache row group index lookup map dict hash join unique natural surrogate order object registry shortcut hot answer".split())
 _SCHEME = r"(?:(?:bearer|basic|digest|token|negotiate|ntlm|apikey)[ \t]+)?"
-#: Groups: name and value; AWS-like, hub-like and URL forms have a value only.
+#: A credential word with what parts it from a value; AWS-like, hub-like, URL and PEM forms have a value only.
 CONTEXT = re.compile(
-    rf"(?:(?<![A-Za-z])(?P<name>(?:[A-Za-z0-9]+[_.-])*{_CAMEL}(?:{_NAME}|[A-Za-z0-9]{{0,63}}secret|{_KEYS}))[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*"
-    rf"(?:\"{_SCHEME}(?:(?P<q>[^\"\s]+)\"|(?P<qb>[^\"\s][^\"\r\n]*)\"(?![A-Za-z0-9]))|'{_SCHEME}(?:(?P<a>[^'\s]+)'|(?P<ab>[^'\s][^'\r\n]*)'(?![A-Za-z0-9]))|{_SCHEME}(?:\"(?P<sq>[^\"\s]+)\"|'(?P<sa>[^'\s]+)'|(?P<v>[^\s\"',;<>|]+))))"
+    rf"(?P<name>{_NAME})[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*"
     r"|(?<![A-Za-z0-9])(?P<aws>AKIA[0-9A-Z]{16})(?![0-9A-Z])"
     r"|(?<![A-Za-z0-9])(?P<hub>gh[pousr]_[0-9A-Za-z]{36,})"
     r"|://[^\s/:@]+:(?P<url>[^\s/@]+)@"
     r"|(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)",
     re.IGNORECASE,
 )
-_PREFILTER = rf"(?:{_NAME}|secret|key)[\"']?[ \t]*[:=]|AKIA[0-9A-Z]{{16}}|gh[pousr]_|://[^\s/:@]+:|PRIVATE KEY"
-
-
-def segments(value: str) -> list[tuple[int, int, float, str]]:
+VALUE = re.compile(
+    rf"\"{_SCHEME}(?:(?P<q>[^\"\s]+)\"|(?P<qb>[^\"\s][^\"\r\n]*)\"(?![A-Za-z0-9]))|'{_SCHEME}(?:(?P<a>[^'\s]+)'|(?P<ab>[^'\s][^'\r\n]*)'(?![A-Za-z0-9]))|{_SCHEME}(?:\"(?P<sq>[^\"\s]+)\"|'(?P<sa>[^'\s]+)'|(?P<v>[^\s\"',;<>|]+))",
+    re.IGNORECASE,
+)
+_PREFILTER = rf"(?:{_NAME})[\"']?[ \t]*[:=]|AKIA[0-9A-Z]{{16}}|gh[pousr]_|://[^\s/:@]+:|PRIVATE KEY"
+_TEMPLATE = re.compile(r"\$\{[^}]*\}?|\$\(.*|\$[A-Z_][A-Z0-9_]*|\{\{.*|%\(?[A-Za-z_]+\)?[sd]?%?|<[^>]*>?|\[[A-Z _-]+\]")
+_PATH = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)*[(\[][\w.()\[\]]*|[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+
+def _name_start(text: str, word: str, at: int, floor: int) -> int:
+    """Where the name begins whose credential word stands at ``at``, or -1 where the word is part of another."""
+    before = text[at - 1] if at > floor else ""
+    low, key = word.lower(), word.lower() == "key"
+    camel = bool(before) and (before.islower() or before.isdigit()) and before.isascii() and word[0].isupper()
+    begin = at
+    if before.isalpha() and before.isascii():
+        if not (camel or low == "secret"):
+            return -1
+    if camel or low == "secret":
+        while begin > floor and at - begin < 64 and text[begin - 1].isascii() and text[begin - 1].isalnum():
+            begin -= 1
+    if key:
+        if not camel and not (before in ("_", "-") and at - 2 >= floor and text[at - 2].isascii() and text[at - 2].isalnum()):
+            return -1
+        near = _PARTS.findall(text[max(floor, at - 12) : at].rstrip("_-"))
+        if near and near[-1].lower() in _PLAIN_KEYS:
+            return -1
+    while begin - 1 > floor and text[begin - 1] in "_.-" and text[begin - 2].isascii() and text[begin - 2].isalnum():
+        begin -= 1
+        while begin > floor and text[begin - 1].isascii() and text[begin - 1].isalnum():
+            begin -= 1
+    return begin
+
+
+def is_reference(value: str, quoted: bool, words: Dictionary) -> bool:
+    """Whether a value only says where the secret is: a template, or code whose names are words."""
+    if _TEMPLATE.fullmatch(value):
+        return True
+    plain = value.rstrip(";,)")
+    if quoted or not (_PATH.fullmatch(value) or _PATH.fullmatch(plain)):
+        return False
+    parts = _PARTS.findall(value)
+    known = sum(len(p) for p in parts if p.lower() in words.rank)
+    return all(len(p) <= 3 or p.lower() in words.rank for p in parts) and known * 2 >= sum(map(len, parts))
+
+
+def segments(value: str, words: Dictionary | None = None) -> list[tuple[int, int, float, str]]:
     """(start, end, bits, kind) of all words, dates, repeats and walks of a value."""
     n, low = len(value), value.lower()
+    words = words or Dictionary.of()
+    rank, longest = words.rank, words.longest
+    if len(low) != n:
+        # letters whose lower case is longer stay as they are
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
     found: list[tuple[int, int, float, str]] = []
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        some = low[i : i + 3] in words.heads or plain[i : i + 3] in words.heads or low[i : i + 3] in words.tails
+        for j in range(i + 3, min(n, i + longest) + 1) if some else ():
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 1.0), (low[i:j][::-1], 1.0)):
-                if form in _RANK:
+                if form in rank:
                     upper = sum(c.isupper() for c in value[i:j])
                     case = 0.0 if not upper else 1.0 if upper in (1, j - i) else math.log2(math.comb(j - i, min(upper, j - i - upper)) + 1)
-                    found.append((i, j, math.log2(_RANK[form] + 1) + extra + case, "word"))
+                    found.append((i, j, math.log2(rank[form] + 1) + extra + case, "word"))
                     break
         for m in (_DATE.match(value, i, min(n, i + 10)),):
             if m:
@@ -125,11 +219,32 @@ def _brute(span: str) -> float:
     return len(span) * min((bits for chars, bits in _ALPHABETS if all(c in chars for c in span)), default=_ANY)
 
 
-def guess_bits(value: str) -> float:
-    """Least cost of a segmentation of the value, in bits."""
+def guess_bits(value: str, words: Dictionary | None = None) -> float:
+    """Least cost of a segmentation of the value, in bits; ``MOST_BITS`` where it is more."""
+    words = words or Dictionary.of()
+    return _short(value, words) if len(value) <= 64 else _bits(value, words)
+
+
+@lru_cache(1 << 16)
+def _short(value: str, words: Dictionary) -> float:
+    return _bits(value, words)
+
+
+def _bits(value: str, words: Dictionary) -> float:
+    size, most = 512, max(words.longest, 2 * _PERIODS) + 1
+    while size < len(value):
+        # whatever the rest is, a segmentation passes one of the last places before a cut, or goes on with a segment that is as cheap before it
+        if min(_least(value[:size], words)[-most:]) >= MOST_BITS:
+            return MOST_BITS
+        size *= 4
+    return min(_least(value, words)[-1], MOST_BITS)
+
+
+def _least(value: str, words: Dictionary) -> list[float]:
+    """Least costs of all beginnings of a value."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits, _ in segments(value):
+    for i, j, bits, _ in segments(value, words):
         ending.setdefault(j, []).append((i, bits))
     kinds = len(_ALPHABETS)
     best = [0.0] + [math.inf] * n
@@ -141,64 +256,88 @@ def guess_bits(value: str) -> float:
             brute[k] = min(brute[k], start) + bits if c in chars else math.inf
         brute[kinds] = min(brute[kinds], start) + _ANY
         best[j] = min(min(brute), min((best[i] + bits + SPLIT_BITS for i, bits in ending.get(j, ())), default=math.inf))
-    return best[n]
+    return best
 
 
-def find(text: str) -> Iterator[tuple[int, int, str, float]]:
+def find(text: str, words: Dictionary | None = None) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, name, bits) of each secret of a text."""
-    for m in CONTEXT.finditer(text):
-        g = next(k for k in ("q", "qb", "a", "ab", "sq", "sa", "v", "aws", "hub", "url", "pem") if m.group(k) is not None)
-        value = m.group(g)
-        bits = guess_bits(value)
-        if bits >= THRESHOLD_BITS:
-            yield m.start(g), m.end(g), (m.group("name") or g).lower(), bits
+    words = words or Dictionary.of()
+    at = floor = 0
+    while m := CONTEXT.search(text, at):
+        name = m.group("name")
+        if name is None:
+            g, v = next(k for k in ("aws", "hub", "url", "pem") if m.group(k) is not None), m
+        else:
+            begin = _name_start(text, name, m.start(), floor)
+            v = VALUE.match(text, m.end()) if begin >= 0 else None
+            if v is None:
+                at = m.end("name")
+                continue
+            g = next(k for k in ("q", "qb", "a", "ab", "sq", "sa", "v") if v.group(k) is not None)
+            name = text[begin : m.end("name")]
+        at = floor = v.end()
+        value = v.group(g)
+        if g in ("aws", "hub", "pem") or not is_reference(value, g != "v", words):
+            bits = guess_bits(value, words)
+            if bits >= THRESHOLD_BITS:
+                yield v.start(g), v.end(g), (name or g).lower(), bits
 
 
 def _suspects(column: pa.Array) -> list[int]:
     return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, _PREFILTER, ignore_case=True), False)).to_pylist()
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("doc_id", "start", "length", "name", "bits")
-    for batch in batches:
-        for part in T.pieces(batch, "text"):
-            rows = [
-                (part.column("doc_id")[i].as_py(), s, e - s, name, round(bits, 6))
-                for i in _suspects(part.column("text"))
-                for s, e, name, bits in find(part.column("text")[i].as_py())
-            ]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+def _added(words: DataFrame | None) -> tuple[str, ...]:
+    """The caller's words (column ``word``), in order; more than ``MOST_WORDS`` are refused."""
+    if words is None:
+        return ()
+    rows = words.select("word").where("word is not null").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    return tuple(sorted(r["word"] for r in rows))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, words: DataFrame | None = None, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """doc_id, start (character), length, name, bits of each secret."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, "doc_id long, start long, length long, name string, bits double")
+    extra, kind = _added(words), docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary.of(vocabularies, extra)
+        for batch in batches:
+            for part in T.pieces(batch, "text"):
+                column = part.column("text")
+                found = [(i, s, e - s, name, round(bits, 6)) for i in _suspects(column) for s, e, name, bits in find(column[i].as_py(), known)]
+                i, s, n, name, bits = zip(*found, strict=True) if found else ((),) * 5
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(i, pa.int64())), "start": pa.array(s, pa.int64()), "length": pa.array(n, pa.int64()), "name": pa.array(name, pa.string()), "bits": pa.array(bits, pa.float64())})
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, name string, bits double")
 
 
-def masked(text: str) -> str:
+def masked(text: str, words: Dictionary | None = None) -> str:
     out, at = [], 0
-    for s, e, _, _ in find(text):
+    for s, e, _, _ in find(text, words):
         out += [text[at:s], MASK]
         at = e
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The rows with each secret's value replaced by ``MASK``; n_chars follows where it is a column."""
+def redact(docs: DataFrame, words: DataFrame | None = None, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """The rows with each secret's value replaced by ``MASK``."""
+    extra = _added(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary.of(vocabularies, extra)
         for batch in batches:
             for part in T.pieces(batch, "text"):
                 at = part.schema.get_field_index("text")
                 column = part.column(at)
-                new = {i: masked(column[i].as_py()) for i in _suspects(column)}
+                new = {i: masked(column[i].as_py(), known) for i in _suspects(column)}
                 new = {i: t for i, t in new.items() if t != column[i].as_py()}
                 if new:
                     mask = pa.array([i in new for i in range(len(column))])
                     part = part.set_column(at, part.schema.field(at), pc.replace_with_mask(column, mask, pa.array(list(new.values()), column.type)))
                     size = part.schema.get_field_index("n_chars")
-                    if size >= 0:
+                    if size >= 0 and pa.types.is_integer(part.schema.field(size).type):
                         counts = pa.array([len(t) for t in new.values()]).cast(part.schema.field(size).type)
                         part = part.set_column(size, part.schema.field(size), pc.replace_with_mask(part.column(size), mask, counts))
                 yield part

@@ -130,6 +130,31 @@ def test_find_secrets_by_camel_case_keys_schemes_and_in_quotes_with_blanks():
     assert secrets.masked("Aa0" * 1_000 + " key=") == "Aa0" * 1_000 + " key="
 
 
+def test_ordinary_words_and_references_are_no_secrets():
+    for text in (
+        "the secret: international", "the secret: everything", "secret: information about it", "their token: responsibility", "password: straightforward.", "the key: no", "access key: unfortunately", "SECRET_KEY: process.env.SECRET_KEY",
+        "api_key = os.environ.get(", "token=${DEPLOY_TOKEN}", "password: {{ vault_password }}", "auth = self.session.auth_token", "password=get_password()", "secret: [REDACTED]", "token=<your token here>", "api_key=$API_KEY", "passwd=settings::database::password",
+    ):
+        assert secrets.masked(text) == text, text
+    for v in ("eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4", "qzjxwvkfp", "k8s.Xq2.Vb71Lm", "Tr0ub4dor&3x9", "hunterXq2lPz"):
+        assert secrets.masked(f"token={v}") == f"token={secrets.MASK}", v
+
+
+def test_words_may_be_added():
+    known = secrets.Dictionary.of(secrets.VOCABULARIES, ("Zwischenspeicherung", "Quarxelbrumm"))
+    assert secrets.guess_bits("Quarxelbrumm", known) < secrets.THRESHOLD_BITS <= secrets.guess_bits("Quarxelbrumm")
+
+
+def test_long_adversarial_texts_are_scanned_in_linear_time():
+    import time
+
+    n = 1_000_000
+    for text in ("a-" * (n // 2) + " password=x", "key:" * (n // 4), "password=" * (n // 9), "://a:" * (n // 5), "password='" + "b " * (n // 2), "token=" + "x8Kq27LmPz01" * 3 + "".join(random.Random(1).choices("abcXYZ019+/", k=n)), "-----BEGIN PRIVATE KEY-----" * (n // 27), "Aa" * (n // 2) + "Secret=", "auth: bearer " * (n // 13)):
+        began = time.time()
+        list(secrets.find(text))
+        assert time.time() - began < 3, text[:40]
+
+
 def test_typographic_signs_separate_words():
     plain = 'he said "don\'t go - not now" to me, and then left the house of 5 men'
     fancy = "he said “don’t\u00a0go — not now” to\u2009me， and　then left the house of 5 men…"
