@@ -8,10 +8,15 @@ by the word count and link density of itself and its two neighbours, and a
 decision tree decides whether it is content.  The tree is grown here, by Gini
 impurity, from the small labelled table :data:`LABELLED`.
 
+A word is what stands between blanks; in scripts without blanks (Han, Kana,
+Thai, Lao, Khmer, Burmese) two characters count as a word.
+
 Defined results: null and empty pages give an empty text and 0 blocks; broken
-or unclosed tags never fail (an unfinished tag is dropped); a missing
-neighbour counts as 0 words without links; pages are independent, so repeated
-rows and null ids change nothing; extra columns are ignored.
+or unclosed tags never fail (an unfinished tag is dropped); a ``>`` in a quoted
+attribute ends no tag, and a quote that is never closed quotes nothing; a
+missing neighbour counts as 0 words without links; pages are independent, so
+repeated rows and null ids change nothing; page_id keeps its type; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +34,11 @@ from quern.llm import textnp as T
 
 _HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)\b[^>]*(?:>|$)|<[!?][^>]*(?:>|$)", re.IGNORECASE | re.DOTALL)
+#: Inside of a tag; quotes count after an equals sign only.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)\b{_INSIDE}(?:>|$)|<[!?][^>]*(?:>|$)", re.IGNORECASE | re.DOTALL)
+#: Characters of scripts without blanks.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]")
 _OPEN, _END = ({t: re.compile(rf"<{c}{t}\b[^>]*>", re.IGNORECASE) for t in _HIDDEN} for c in ("", "/"))
 #: A tag that closes itself; the slash isn't part of an attribute without quotes.
 _EMPTY = re.compile(r"(?:^<[a-z]+|[\s\"'])/>$", re.IGNORECASE)
@@ -126,6 +135,13 @@ def _hidden_end(page: str, tag: str, raw: str, at: int, unclosed: set[str]) -> i
     return end.end() if end else len(page) if code else at
 
 
+def count_words(text: str) -> int:
+    words = text.split()
+    if text.isascii():
+        return len(words)
+    return sum(max(1, (len(_DENSE.findall(w)) + 1) // 2) for w in words)
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each text block of a page."""
     out: list[tuple[str, int, int]] = []
@@ -138,13 +154,14 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if text:
             parts.append(text)
             if depth:
-                linked += len(text.split())
+                linked += count_words(entities.unescape(text))
 
     def close() -> None:
         nonlocal linked, parts
-        words = entities.unescape("".join(parts)).split()
-        if words:
-            out.append((" ".join(words), len(words), min(linked, len(words))))
+        text = " ".join(entities.unescape("".join(parts)).split())
+        if text:
+            n = count_words(text)
+            out.append((text, n, min(linked, n)))
         linked, parts = 0, []
 
     while m := _TAG.search(page, at):
@@ -201,7 +218,7 @@ def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
                     sizes.append(int(words[edge[i] : edge[i + 1]][keep].sum()))
                 yield pa.record_batch({"page_id": part.column("page_id"), "text": pa.array(texts, pa.string()), "n_blocks": pa.array(np.diff(edge)), "n_content": pa.array(counts, pa.int64()), "n_words": pa.array(sizes, pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string, n_blocks long, n_content long, n_words long")
+    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_blocks long, n_content long, n_words long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

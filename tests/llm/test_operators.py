@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -397,3 +398,70 @@ def test_toxicity_equals_brute_force(spark):
             want.add((i, round(score, 6)))
     got = toxicity.toxic_documents(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert {(x["doc_id"], x["score"]) for x in got.collect()} == want and len(want) > 40
+
+
+class BrutePage(HTMLParser):
+    """Blocks of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.linked, self.hidden, self.link = [], "", 0, None, False
+
+    def flush(self):
+        words = self.text.split()
+        if words:
+            self.found.append((" ".join(words), len(words), min(self.linked, len(words))))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            return
+        if tag in html._HIDDEN:
+            self.flush()
+            self.hidden = tag
+        elif tag == "a":
+            self.link = True
+        elif tag not in html._INLINE:
+            self.flush()
+            self.link = False
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            self.hidden = None if tag == self.hidden else self.hidden
+        elif tag == "a":
+            self.link = False
+        elif tag not in html._INLINE:
+            self.flush()
+            self.link = False
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+            self.linked += len(data.split()) * self.link
+
+
+def brute_extract(page, tree):
+    p = BrutePage()
+    p.feed(page)
+    p.close()
+    p.flush()
+    b, kept = p.found, []
+    for k, (text, words, links) in enumerate(b):
+        x = []
+        for near in (k - 1, k, k + 1):
+            x += [b[near][1], b[near][2] / b[near][1]] if 0 <= near < len(b) else [0, 0]
+        node = tree.root
+        while not isinstance(node, int):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        if node:
+            kept.append((text, words))
+    return "\n".join(t for t, _ in kept), len(b), len(kept), sum(w for _, w in kept)
+
+
+def test_html_equals_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    tree = html.train()
+    want = sorted(((r["page_id"], *brute_extract(r["html"], tree)) for r in pages.collect()), key=repr)
+    assert rows(html.extract(pages)) == want and len(want) >= 200
+    some = [(1, '<div title="a > b"><p>one two three</p><a href=x>l m</a> n &amp; o &lt;p&gt;<br>z</div><script>if (a<b) "</p>"</script>after it')]
+    assert rows(html.extract(spark.createDataFrame(some, "page_id long, html string"))) == [(1, *brute_extract(some[0][1], tree))]

@@ -361,3 +361,16 @@ def test_scores_equal_brute_force(words):
             score += 0.2 if inside else 0.4 if "said" in left else 1.5 if "you" in left[-3:] + right else 1.0
         k += 1
     assert got[0][0] == pytest.approx(score) and got[3][0] == len(real)
+
+
+def test_quoted_attributes_end_no_tag():
+    texts = lambda page: [t for t, _, _ in html.blocks(page)]
+    for tag in ('<p title="a > b">', "<p title='a > b' x>", '<p a = "x>y" b=\'>"\'>', "<p class=it's>", '<p "x>', "<p a=\"x>", "<p a=b>", "<p =>"):
+        assert texts(f"{tag}one text</p><p>two text</p>")[-2:] == ["one text", "two text"], tag
+    html.blocks('<a x="' * 50_001 + "<p y='" * 50_001)
+
+
+def test_words_of_scripts_without_blanks():
+    assert [html.count_words(t) for t in ("", "a b", "é à", "日本語テキスト", "日本 語", "ภาษาไทย ab", "한국어 말")] == [0, 2, 2, 4, 2, 5, 2]
+    [(text, words, links)] = html.blocks("<p>全文检索引擎很好用，<a href=x>全文检索</a></p>")
+    assert words == 7 and links == 2 and text == "全文检索引擎很好用，全文检索"
