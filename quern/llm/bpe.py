@@ -11,30 +11,35 @@ result always equals that of encoding the text at once.  Decoding
 concatenates byte strings up the same tree.
 
 Leaves of one Arrow batch are encoded together: pre-tokens are found on the
-byte buffer, each distinct one is encoded once and remembered by the worker.
-Texts with characters outside ASCII and Latin-1 letters are encoded by the
-library's own pre-tokeniser.  The vocabulary is only read, by path.
+byte buffer, the distinct new ones are merged side by side (all places of a
+word's lowest-ranked pair at once, round by round) and remembered by the
+worker; what is remembered is compared byte by byte, hashes only find it.
+Leaves with characters outside ASCII and Latin-1 letters are cut by the
+pattern itself.  The vocabulary is only read, by path.
 
 Defined results: a null text has null tokens and 0 of them, an empty text an
 empty list; rows are independent, so repeated rows, ties and null ids change
-nothing; extra columns are ignored by :func:`encode_documents`.
+nothing; doc_id keeps its type; extra columns are ignored.  In decoding, a null
+list gives null, an id that the vocabulary lacks gives null, and bytes that
+aren't UTF-8 (of a list that doesn't come from a text) become U+FFFD.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import textnp as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space by its Unicode property, which leaves out the separators 28 to 31.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LEAF = 4096
 WINDOW = 32
 REMEMBERED = 1_000_000
@@ -55,11 +60,15 @@ class Bpe:
     _made: dict[str, Bpe] = {}
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.pattern = ranks, regex.compile(PATTERN)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # what two neighbours make, for all ways to cut a token in two tokens
+        pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.words: dict[bytes, list[int]] = {}
         self.size = max(ranks.values()) + 1
         order = sorted(ranks.items(), key=lambda x: x[1])
         self.length = np.zeros(self.size, np.int64)
@@ -69,10 +78,9 @@ class Bpe:
         sizes = np.array([len(a) for a, _ in order])
         self.length[ids] = sizes
         self.at[ids] = np.cumsum(sizes) - sizes
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        # memory: sorted runs of (keys, first token, tokens), each at least twice the next, over one growing array of tokens
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     @classmethod
     def of(cls, path: str) -> Bpe:
@@ -81,7 +89,55 @@ class Bpe:
         return cls._made[path]
 
     def encode_text(self, raw: bytes) -> np.ndarray:
-        return np.array(self.library.encode_ordinary(raw.decode("utf-8", "replace")), np.int32)
+        """Tokens of a text, pre-token by pre-token."""
+        out: list[int] = []
+        for m in self.pattern.finditer(raw.decode("utf-8", "replace")):
+            out += self._word(m.group().encode())
+        return np.array(out, np.int32)
+
+    def _word(self, word: bytes) -> list[int]:
+        if word in self.ranks:
+            return [self.ranks[word]]
+        found = self.words.get(word)
+        if found is None:
+            data = np.frombuffer(word, np.uint8)
+            found = self.merge(data, np.zeros(1, np.int64), np.array([len(word)]))[0].tolist()
+            if len(self.words) >= 100_000:
+                self.words.clear()
+            if len(word) <= 64:
+                self.words[word] = found
+        return found
+
+    def merge(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pre-tokens data[s:e], one after another, and how many each has."""
+        n, none = len(s), np.iinfo(np.int64).max
+        raw, get = data.tobytes(), self.ranks.get
+        whole = np.array([get(raw[a:b], -1) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
+        size = np.where(whole >= 0, 0, e - s)
+        ids, row = self.single[data[_ranges(s, size)]], np.repeat(np.arange(n), size)
+        done_ids, done_rows = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        while len(ids):
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            rank = np.where((self.pair_keys[at] == key) & (row[:-1] == row[1:]), self.pair_ids[at], none)
+            rank = np.append(rank, none)
+            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(ids))))
+            over = lowest == none
+            if over.any():
+                done_ids.append(ids[over])
+                done_rows.append(row[over])
+            place = np.flatnonzero((rank == lowest) & ~over)
+            # of places that overlap, every other one from the left
+            new = np.append(True, place[1:] != place[:-1] + 1)[: len(place)]
+            run = np.flatnonzero(new)
+            place = place[(np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) % 2 == 0]
+            ids[place] = rank[place]
+            stay = ~over
+            stay[place + 1] = False
+            ids, row = ids[stay], row[stay]
+        flat, rows = np.concatenate(done_ids), np.concatenate(done_rows)
+        return flat[np.argsort(rows, kind="stable")].astype(np.int32), np.bincount(rows, minlength=n)
 
     def encode_spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each span between offsets, encoded alone, with the offsets of their tokens."""
@@ -92,6 +148,10 @@ class Bpe:
         ends = np.append(starts[1:], len(data))
         h = T.hashes(data, starts, ends)
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        # the words of one hash must be one word; a span where they aren't is encoded by itself
+        size = ends - starts
+        other = (size != size[first][back]) | (starts != starts[first][back]) & (np.add.reduceat(data[_ranges(starts[first][back], size) % len(data)] != data, starts) > 0)
+        plain[np.searchsorted(offs, starts[other], "right") - 1] = False
         uniq_at, uniq_n, flat = self._look(uniq, data, starts[first], ends[first])
         at, counts = uniq_at[back], uniq_n[back]
         span = np.searchsorted(offs, starts, "right") - 1
@@ -118,28 +178,44 @@ class Bpe:
         return out, out_offs
 
     def _look(self, keys: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
+        """(first token, tokens, array of tokens) of distinct pre-tokens with their hashes, remembered or new."""
+        at, counts, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for run, starts, sizes in self.runs:
+            rest = np.flatnonzero(~known)
+            p = np.searchsorted(run, keys[rest])
+            ok = p < len(run)
+            ok[ok] = run[p[ok]] == keys[rest[ok]]
+            at[rest[ok]], counts[rest[ok]], known[rest[ok]] = starts[p[ok]], sizes[p[ok]], True
+        # a hash alone proves nothing: the remembered tokens must spell the bytes
+        old = np.flatnonzero(known)
+        tokens = self.flat[_ranges(at[old], counts[old])]
+        length = np.add.reduceat(np.append(self.length[tokens], 0), np.cumsum(counts[old]) - counts[old]) if len(old) else np.zeros(0, np.int64)
+        same = length == e[old] - s[old]
+        known[old[~same]] = False
+        old = old[same]
+        if len(old):
+            spelt = self.bytes[_ranges(self.at[tk := self.flat[_ranges(at[old], counts[old])]], self.length[tk])]
+            wrong = np.flatnonzero(spelt != data[_ranges(s[old], e[old] - s[old])])
+            known[old[np.unique(np.searchsorted(np.cumsum(e[old] - s[old]), wrong, "right"))]] = False
         new = np.flatnonzero(~known)
-        encode = self.library.encode_ordinary
-        raw = data.tobytes()
-        lists = [encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        tokens = np.fromiter((t for x in lists for t in x), np.int32, int(sizes.sum()))
-        base = len(self.flat)
-        at, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        at[known], counts[known] = self.starts[place[known]], self.counts[place[known]]
-        at[new], counts[new] = base + np.cumsum(sizes) - sizes, sizes
-        flat = np.concatenate([self.flat, tokens])
-        # beyond the bound new pre-tokens are encoded again in the next batch
-        if len(self.keys) + len(new) <= REMEMBERED:
-            self.keys = np.insert(self.keys, place[new], keys[new])
-            self.starts = np.insert(self.starts, place[new], at[new])
-            self.counts = np.insert(self.counts, place[new], sizes)
-            self.flat = flat
-        return at, counts, flat
+        tokens, sizes = self.merge(data, s[new], e[new])
+        starts = self.used + np.cumsum(sizes) - sizes
+        at[new], counts[new] = starts, sizes
+        # beyond the bound new pre-tokens are merged again in the next batch
+        if sum(len(r[0]) for r in self.runs) + len(new) > REMEMBERED:
+            return at, counts, np.concatenate([self.flat[: self.used], tokens])
+        if len(new):
+            if self.used + len(tokens) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * (self.used + len(tokens)))
+            self.flat[self.used : self.used + len(tokens)] = tokens
+            self.used += len(tokens)
+            self.runs.append((keys[new], starts, sizes))
+            while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+                a, b = self.runs.pop(), self.runs.pop()
+                both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+                order = np.argsort(both[0], kind="stable")
+                self.runs.append(tuple(x[order] for x in both))
+        return at, counts, self.flat
 
     def join(self, raw: bytes, s: int, m: int, e: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Tokens of raw[s:e] from those of raw[s:m] and raw[m:e]."""
@@ -337,7 +413,31 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int =
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens), mask=pa.array(null) if null.any() else None)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offs)), "n_tokens": pa.array(np.diff(at)), "tokens": lists, "round_trip": pa.array(same)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, tokens array<int>, round_trip boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, tokens array<int>, round_trip boolean")
+
+
+def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text of each row of doc_id and tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe.of(vocabulary)
+        real = bpe.length > 0
+        for batch in batches:
+            lists = batch.column("tokens")
+            texts: list[str | None] = []
+            for i in range(len(lists)):
+                if not lists[i].is_valid:
+                    texts.append(None)
+                    continue
+                ids = lists[i].values
+                t = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+                good = (t >= 0) & (t < bpe.size)
+                good[good] = real[t[good]]
+                texts.append(bpe.decode(t).decode("utf-8", "replace") if good.all() else None)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+    return tokens.select("doc_id", F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def _same(bpe: Bpe, tokens: np.ndarray, at: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

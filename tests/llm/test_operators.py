@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from test_pure import library
 from quern.llm import bpe, decontaminate, html, quality, queries, secrets, sharding, simhash, suffix, tokenids, toxicity
 from quern.llm import textnp as T
 
@@ -147,8 +148,11 @@ def test_quality_rules_hold_alike_below_and_above_twenty_words(spark):
 def test_bpe(docs, odd, empty):
     b = bpe.Bpe.of(bpe.VOCABULARY)
     got = bpe.encode_documents(docs, leaf=64).collect()
-    want = sorted(((i, b.library.encode_ordinary(t) if t is not None else None) for i, t in TEXTS), key=repr)
+    want = sorted(((i, library(t) if t is not None else None) for i, t in TEXTS), key=repr)
     assert sorted(((r["doc_id"], r["tokens"]) for r in got), key=repr) == want and all(r["round_trip"] for r in got)
+    back = bpe.decode_documents(bpe.encode_documents(odd)).collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(TEXTS, key=repr)
+    assert [r["text"] for r in bpe.decode_documents(docs.sparkSession.createDataFrame([(1, [10**6]), (2, None), (3, []), (4, [None]), (5, [-1])], "doc_id long, tokens array<int>")).collect()] == [None, None, "", None, None]
     assert bpe.encode_documents(empty).count() == 0 and bpe.encode_documents(odd).count() == len(TEXTS)
 
 
@@ -291,7 +295,7 @@ def test_token_ids(spark, docs, odd, empty, tmp_path):
     b = bpe.Bpe.of(bpe.VOCABULARY)
     folder = str(tmp_path / "ids")
     got = tokenids.write_shards(odd, folder, shard_tokens=500).collect()
-    want = sorted(((i, b.library.encode_ordinary(t or "")) for i, t in TEXTS), key=repr)
+    want = sorted(((i, library(t or "")) for i, t in TEXTS), key=repr)
     shards = {r["shard"]: tokenids.Shard(folder, r["shard"]) for r in got}
     read = [(r["doc_id"], shards[r["shard"]].tokens(r["place"]).tolist()) for r in got]
     assert sorted(read, key=repr) == want
@@ -310,7 +314,7 @@ def test_pipeline(spark, sf_dir, odd, benchmark, labels, tmp_path):
     groups = brute_groups([x for x in TEXTS if x[0] != 15], simhash.MAX_BITS)
     kept = {(i, t) for i, t in TEXTS if i is None or i in (7, 8, 9) or groups.get(i) == i}
     kept = [(i, secrets.masked(t) if t else t) for i, t in kept if i not in (4, 5)]
-    want = sorted(((i, b.library.encode_ordinary(t) if t is not None else None) for i, t in kept), key=repr)
+    want = sorted(((i, library(t) if t is not None else None) for i, t in kept), key=repr)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["tokens"]) for r in got), key=repr) == want
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
