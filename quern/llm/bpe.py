@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,19 @@ class Bpe:
             return [self.ranks[word]]
         found = self.words.get(word)
         if found is None:
-            data = np.frombuffer(word, np.uint8)
-            found = self.merge(data, np.zeros(1, np.int64), np.array([len(word)]))[0].tolist()
+            if len(word) <= 32:
+                parts, get, none = [word[i : i + 1] for i in range(len(word))], self.ranks.get, self.size
+                while len(parts) > 1:
+                    ranks = [get(a + b, none) for a, b in pairwise(parts)]
+                    low = min(ranks)
+                    if low == none:
+                        break
+                    k = ranks.index(low)
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                found = [self.ranks[p] for p in parts]
+            else:
+                data = np.frombuffer(word, np.uint8)
+                found = self.merge(data, np.zeros(1, np.int64), np.array([len(word)]))[0].tolist()
             if len(self.words) >= 100_000:
                 self.words.clear()
             if len(word) <= 64:
