@@ -184,7 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     keep[_occurrences(part.column("text"), searches)[0]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = T.map_rows(docs, run)
     return docs
 
 

@@ -342,7 +342,7 @@ def redact(docs: DataFrame, words: DataFrame | None = None, vocabularies: tuple[
                         part = part.set_column(size, part.schema.field(size), pc.replace_with_mask(part.column(size), mask, counts))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return T.map_rows(docs, run)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ a text or a word is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,18 @@ def integer_ids(rows: DataFrame, column: str) -> Column:
     return F.col(column).cast("long").alias(column)
 
 
+def plain_names(rows: DataFrame) -> DataFrame:
+    """The rows with names of their own instead of those that hold other signs than letters, digits and underscores, or occur twice."""
+    low = [n.lower() for n in rows.columns]
+    return rows.toDF(*(n if re.fullmatch(r"\w+", n) and low.count(n.lower()) == 1 else f"_{i}_of_{len(low)}" for i, n in enumerate(rows.columns)))
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Arrow batches through ``run``, which keeps all columns, whatever they are called."""
+    plain = plain_names(rows)
+    return plain.mapInArrow(run, plain.schema).toDF(*rows.columns)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text (one row at least)."""
     index = batch.schema.get_field_index(column)

@@ -9,12 +9,14 @@ select structure finds the i-th boundary without a table of 64 bit offsets
 
 Files are written under names of their own per task attempt, and only names
 that a finished task returns are part of the result, so a lost executor or a
-second attempt can't damage a shard.  The shared folder must be reachable as a
-path or through a file system that Arrow knows.
+second attempt can't damage a shard.  The driver gives the folder its scheme,
+so that workers write where Spark reads; Arrow must know that file system.
+What is returned is read back: each shard's boundaries are loaded from its
+file, and the ids' file must have their size.
 
 Defined results: null and empty texts are documents of 0 tokens (ties between
-boundaries); null ids and repeated rows stay rows of their own; an empty table
-gives an empty result; extra columns are ignored.
+boundaries); null ids and repeated rows stay rows of their own; doc_id keeps
+its type; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,8 +149,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
             code = EliasFano.of(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
             with fs.open_output_stream(f"{at}/docs-{name}.ef") as f:
                 f.write(code.to_bytes())
-            bounds = EliasFano.from_bytes(code.to_bytes()).select_all()
+            with fs.open_input_file(f"{at}/docs-{name}.ef") as f:
+                bounds = EliasFano.from_bytes(f.read()).select_all()
             n = len(bounds) - 1
+            if fs.get_file_info(f"{at}/ids-{name}.bin").size != bounds[-1] * kind.itemsize:
+                raise OSError(f"ids-{name}.bin isn't whole")
             out = pa.record_batch({"doc_id": pa.concat_arrays(ids), "shard": pa.array([name]).take(pa.array(np.zeros(n, np.int64))), "place": pa.array(np.arange(n)), "start": pa.array(bounds[:-1]), "n_tokens": pa.array(np.diff(bounds))})
             name, stream, ids, sizes, total = "", None, [], [], 0
             return out
@@ -170,9 +175,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sha
         if stream is not None:
             yield finish()
 
+    folder = scratch.qualified(docs.sparkSession, folder)
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shard string, place long, start long, n_tokens long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shard string, place long, start long, n_tokens long")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,7 +421,7 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
                 score, _, _, words = score_column(part.column("text"), matcher)
                 yield part.filter(pa.array(~is_toxic(score, words)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return T.map_rows(docs, run)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
