@@ -5,28 +5,41 @@ hashes of its distinct words (letters and digits, folded).  Two documents are
 near-duplicates if their fingerprints differ in ``MAX_BITS`` bits at most, and
 groups are the connected components of that relation.
 
-Search.  Equal fingerprints are joined first.  The others go to ``tables``
-buckets each, by ``key_bits`` sampled bits; both numbers follow from the number
-of fingerprints so that buckets stay small and a pair *at* the limit meets in
-some bucket with probability ``RECALL`` at least (closer pairs nearly always).
-In a bucket every fingerprint is a query: members are sorted by Gray rank, so
-that neighbours share bit patterns; runs of ``FANOUT`` members make a node with
-the mask of the bits they all share, runs of nodes make upper nodes.  A query
-adds up its differences from the shared patterns on its way down (each bit is
-counted at the highest node that has it) and drops a whole group once the sum
-passes the limit.  There is no cap on partners; a bucket hands on a spanning
-star of each of its groups instead of all pairs, which has the same components.
+Routing.  Equal fingerprints are joined first.  The others are shuffled to a
+few coarse buckets by sampled bits, of ``BUCKET`` members or so; how often each
+is copied grows with the number of fingerprints to the power 0.3 from some
+millions on, and not at all before.  A bucket that holds far more than its
+share is parted by further bits, again and again, before anything is shuffled.
+
+Search.  Inside a bucket, several orderings of the bits are taken in turn.
+Members are sorted by the Gray rank of their reordered codes, so that
+neighbours share bit patterns: runs that share the leading bits are the cells
+that are searched; in a cell, ``FANOUT`` members make a node with the mask of
+the bits that they all share, nodes make upper nodes.  A query adds up its
+differences from the shared patterns on its way down (each bit is counted at
+the highest node that has it) and drops a whole group once the sum passes the
+limit.  A pair *at* the limit meets in some cell of some bucket with
+probability ``RECALL`` at least, closer pairs nearly always, for any number of
+documents.
+
+There is no cap on partners, and pairs aren't listed: neighbours in Gray order
+are united first, and members of a cell's largest component are compared with
+the others only, so that a group of any size costs one link a member, which
+has the same components.
 
 Defined results: null texts and texts without words are never duplicates;
 rows with a null doc_id are never reported or removed; repeated rows of one
-doc_id are one document, of which :func:`drop_near_duplicates` keeps one row;
-the smallest doc_id stays of each group; extra columns are carried along.
+doc_id are one document, of which :func:`drop_near_duplicates` keeps the first
+row in the order of all its columns; the smallest doc_id stays of each group;
+doc_id must be an integer (other types are refused); extra columns are carried
+along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +53,13 @@ LANES = 4
 BITS = 64 * LANES
 MAX_BITS = 48
 RECALL = 0.9
-BUCKET = 256
+#: Members of a coarse bucket, and of a cell within it, that are aimed at.
+BUCKET = 1 << 20
+CELL = 128
+#: A bucket of so many times its share is parted.
+HOT = 4
+#: Buckets there are at least, so that all cores have work.
+LEAST_BITS = 5
 FANOUT = 8
 _FRONTIER = 1 << 20
 _SALT = T.mix(np.arange(1, LANES + 1, dtype=np.uint64))
@@ -76,7 +95,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document that has words and an id."""
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, " + ", ".join(f"{c} long" for c in _COLS))
+    return docs.where("doc_id is not null and text is not null").select(T.integer_ids(docs, "doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, " + ", ".join(f"{c} long" for c in _COLS))
 
 
 # ---------------------------------------------------------------- index
@@ -115,81 +134,157 @@ class GrayIndex:
             pattern, mask = every & shared, shared
             self.levels.append((pattern, mask))
 
-    def pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of original row numbers that differ in ``limit`` bits at most, each once."""
-        n = len(self.codes)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        block = max(1, _FRONTIER // max(1, n))
-        for lo in range(0, n, block):
-            q = np.arange(lo, min(n, lo + block))
-            i, j = self._search(q, limit)
-            left.append(self.order[i])
-            right.append(self.order[j])
-        return np.concatenate(left), np.concatenate(right)
-
-    def _search(self, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, member) of all members within ``limit`` bits of the queries (rows of codes)."""
         top = len(self.levels) - 1
         pattern, mask = self.levels[top]
-        node = np.zeros(len(q), np.int64)
-        acc = _ones((self.codes[q] ^ pattern[node]) & mask[node])
-        ok = acc <= limit
-        q, node, acc = q[ok], node[ok], acc[ok]
-        span = self.fanout ** max(0, top)
-        for level in range(top - 1, -1, -1):
-            span //= self.fanout
+        q = np.repeat(np.arange(len(queries)), len(pattern))
+        node = np.tile(np.arange(len(pattern)), len(queries))
+        acc = np.zeros(len(q), np.int64)
+        upper = np.zeros_like(mask)
+        parent = np.zeros(len(q), np.int64)
+        for level in range(top, -1, -1):
             pattern, mask = self.levels[level]
-            upper = self.levels[level + 1][1]
-            child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-            qq, parent, a = np.repeat(q, self.fanout), np.repeat(node, self.fanout), np.repeat(acc, self.fanout)
-            # members before the query have been queries themselves
-            ok = (child < len(pattern)) & ((child + 1) * span - 1 > qq)
-            qq, parent, child, a = qq[ok], parent[ok], child[ok], a[ok]
+            if level < top:
+                q, parent, acc = np.repeat(q, self.fanout), np.repeat(node, self.fanout), np.repeat(acc, self.fanout)
+                node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                ok = node < len(pattern)
+                q, parent, node, acc = q[ok], parent[ok], node[ok], acc[ok]
+                upper = self.levels[level + 1][1]
             for lane in range(self.codes.shape[1]):
-                new = mask[child, lane] & ~upper[parent, lane]
-                a = a + np.bitwise_count((self.codes[qq, lane] ^ pattern[child, lane]) & new)
-                ok = a <= limit
+                new = mask[node, lane] & ~upper[parent, lane] if level < top else mask[node, lane]
+                acc = acc + np.bitwise_count((queries[q, lane] ^ pattern[node, lane]) & new)
+                ok = acc <= limit
                 if not ok.all():
-                    qq, parent, child, a = qq[ok], parent[ok], child[ok], a[ok]
-            q, node, acc = qq, child, a
-        ok = node > q
-        return q[ok], node[ok]
-
-
-def stars(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest id) edges of the components that the pairs make."""
-    low = ids.copy()
-    while len(i):
-        m = np.minimum(low[i], low[j])
-        before = low.copy()
-        np.minimum.at(low, i, m)
-        np.minimum.at(low, j, m)
-        if (low == before).all():
-            break
-    moved = low != ids
-    return ids[moved], low[moved]
-
-
-def plan_tables(n: int, limit: int = MAX_BITS, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
-    """(key bits, tables) for n fingerprints."""
-    bits = max(4, math.ceil(math.log2(max(1, n) / bucket)) if n > bucket else 4)
-    meet = 1.0
-    for k in range(bits):
-        meet *= (BITS - limit - k) / (BITS - k)
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+                    q, node, acc = q[ok], node[ok], acc[ok]
+                    parent = parent[ok] if level < top else parent[: len(q)]
+        return q, self.order[node]
 
 
-def _route(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    chosen = [np.random.default_rng(7919 + t).permutation(BITS)[:bits] for t in range(tables)]
+def united(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member of each component) with the links i, j added."""
+    while True:
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return low
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low = low.copy()
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not ((up := low[low]) == low).all():
+            low = up
+
+
+def _cell(codes: np.ndarray, low: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a cell, in blocks; members of its largest component are targets only, as links among them would add nothing."""
+    values, back, many = np.unique(low, return_inverse=True, return_counts=True)
+    if len(values) == 1:
+        return
+    queries = np.flatnonzero(back != np.argmax(many))
+    if len(codes) <= 2 * FANOUT:
+        i, j = np.nonzero(np.bitwise_count(codes[queries, None] ^ codes[None]).sum(axis=2, dtype=np.int32) <= limit)
+        yield queries[i], j
+        return
+    index, block = GrayIndex(codes), max(1, _FRONTIER // len(codes))
+    for k in range(0, len(queries), block):
+        i, j = index.near(codes[queries[k : k + block]], limit)
+        yield queries[k + i], j
+
+
+def _reordered(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The codes with their bits in another order."""
+    parts = [np.zeros((0, codes.shape[1]), np.uint64)]
+    for k in range(0, len(codes), 65536):
+        flags = np.unpackbits(np.ascontiguousarray(codes[k : k + 65536].astype(">u8")).view(np.uint8), axis=1)
+        parts.append(np.ascontiguousarray(np.packbits(flags[:, order], axis=1)).view(">u8").astype(np.uint64))
+    return np.concatenate(parts)
+
+
+def _meet(bits: int, limit: int) -> float:
+    """Chance that a pair at the limit is alike in so many sampled bits."""
+    p = 1.0
+    for k in range(bits):
+        p *= (BITS - limit - k) / (BITS - k)
+    return p
+
+
+def _times(p: float, recall: float) -> int:
+    return 1 if p >= 1 else math.ceil(math.log(1 - min(recall, 0.999)) / math.log(1 - p))
+
+
+def plan_tables(n: int, limit: int = MAX_BITS, recall: float = RECALL, bucket: int | None = None) -> tuple[int, int, float]:
+    """(bits, tables, recall within a bucket) for n fingerprints: the fewest copies of a fingerprint, counting a round within a bucket as a quarter of one."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n) / (bucket or BUCKET))))
+    outer = _meet(bits, limit)
+    inner = _meet(max(0, math.ceil(math.log2(max(1, n) / 2**bits / CELL))), limit)
+    best = None
+    for rounds in range(1, _times(inner, 0.95) + 1):
+        within = 1 - (1 - inner) ** rounds
+        tables = _times(outer * within, recall)
+        cost = tables * (1 + rounds / 4)
+        if best is None or cost < best[0]:
+            best = (cost, tables, within)
+    return bits, best[1], best[2]
+
+
+def links(codes: np.ndarray, limit: int, recall: float, seed: int = 0, cell: int | None = None, depth: int = 0) -> np.ndarray:
+    """The smallest member of the component of each member of a bucket; a pair at the limit is found with probability ``recall`` at least."""
+    n, cell = len(codes), cell or CELL
+    low = np.arange(n)
+    bits = math.ceil(math.log2(n / cell)) if n > 2 * cell else 0
+    # a cell that is parted again finds a pair with this probability only, which more rounds make up for
+    again = 0.97
+    random = np.random.default_rng((seed, depth))
+    for _ in range(_times(_meet(bits, limit) * again, recall) if bits else 1):
+        moved = _reordered(codes, random.permutation(BITS))
+        # in Gray order, members with the same leading bits stand together, and close ones side by side: that unites large groups at once
+        by = np.argsort(gray_rank(moved[:, :1])[:, 0], kind="stable")
+        for step in (1, 2):
+            a, b = by[:-step], by[step:]
+            near = _ones(moved[a] ^ moved[b]) <= limit
+            low = united(low, a[near], b[near])
+        lead = moved[by, 0] >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+        at = np.append(np.flatnonzero(np.append(True, lead[1:] != lead[:-1])), n) if n else np.zeros(1, np.int64)
+        left, right, waiting = [], [], 0
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            some = by[a:b]
+            if b - a > 128 * cell and depth < 1 and bits:
+                inner = links(moved[some], limit, again, seed + 1, cell, depth + 1)
+                found = [(np.arange(b - a), inner)]
+            elif b - a > 1:
+                found = _cell(moved[some], low[some], limit)
+            else:
+                continue
+            for i, j in found:
+                left.append(some[i])
+                right.append(some[j])
+                waiting += len(i)
+                if waiting > _FRONTIER:
+                    low = united(low, np.concatenate(left), np.concatenate(right))
+                    left, right, waiting = [], [], 0
+        if left:
+            low = united(low, np.concatenate(left), np.concatenate(right))
+    return low
+
+
+def _route(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int, key: str | None = None) -> Iterator[pa.RecordBatch]:
+    """A copy for each table, with its bucket; with ``key``, within the buckets that the rows have already."""
+    chosen = [np.random.default_rng((seed, t)).permutation(BITS)[:bits] for t in range(tables)]
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             codes = np.stack([np.asarray(part.column(c)).view(np.uint64) for c in _COLS], axis=1)
-            flags = np.unpackbits(codes.astype(">u8").view(np.uint8), axis=1)
+            flags = np.unpackbits(np.ascontiguousarray(codes.astype(">u8")).view(np.uint8), axis=1)
+            old = np.asarray(part.column(key)).view(np.uint64) if key else None
             for t, at in enumerate(chosen):
-                key = np.zeros(len(codes), np.int64)
+                value = np.zeros(len(codes), np.uint64)
                 for b in at:
-                    key = key << 1 | flags[:, b]
-                yield pa.record_batch({"bucket": pa.array(key * tables + t), "doc_id": part.column("doc_id"), **{c: part.column(c) for c in _COLS}})
+                    value = value << np.uint64(1) | flags[:, b]
+                with np.errstate(over="ignore"):
+                    value = value * np.uint64(tables) + np.uint64(t)
+                    if old is not None:
+                        value = T.mix(old * np.uint64(0x9E3779B97F4A7C15) + value)
+                yield pa.record_batch({"bucket": pa.array(value.view(np.int64)), "doc_id": part.column("doc_id"), **{c: part.column(c) for c in _COLS}})
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -211,75 +306,96 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _join(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    left, right, waiting = [], [], 0
+def _join(batches: Iterator[pa.RecordBatch], limit: int, recall: float, cell: int | None = None) -> Iterator[pa.RecordBatch]:
     for group in _runs(batches, "bucket"):
         if group.num_rows > 1:
+            group = group.sort_by("doc_id")
             codes = np.stack([group.column(c).to_numpy().view(np.uint64) for c in _COLS], axis=1)
-            i, j = GrayIndex(codes).pairs(limit)
-            if len(i):
-                a, b = stars(len(codes), i, j, group.column("doc_id").to_numpy().copy())
-                left.append(a)
-                right.append(b)
-                waiting += len(a)
-        if waiting > 50_000:
-            yield pa.record_batch({"u": pa.array(np.concatenate(left)), "v": pa.array(np.concatenate(right))})
-            left, right, waiting = [], [], 0
-    if waiting:
-        yield pa.record_batch({"u": pa.array(np.concatenate(left)), "v": pa.array(np.concatenate(right))})
-
-
-def near_pairs(codes: DataFrame, n: int, limit: int = MAX_BITS) -> DataFrame:
+            low, ids = links(codes, limit, recall, 7919, cell), group.column("doc_id").to_numpy()
+            moved = np.flatnonzero(ids[low] != ids)
+            yield pa.record_batch({"u": pa.array(ids[moved]), "v": pa.array(ids[low[moved]])})
+
+
+_WIDE = "doc_id long, " + ", ".join(f"{c} long" for c in _COLS)
+
+
+def near_pairs(codes: DataFrame, n: int, limit: int = MAX_BITS, bucket: int | None = None, cell: int | None = None) -> DataFrame:
     """Edges (u, v), u > v, that connect the distinct fingerprints within the limit."""
-    bits, tables = plan_tables(n, limit)
-    wide = "doc_id long, " + ", ".join(f"{c} long" for c in _COLS)
-    routed = codes.mapInArrow(lambda it: _route(it, bits, tables), "bucket long, " + wide)
-    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _join(it, limit), "u long, v long").distinct()
+    bucket = bucket or BUCKET
+    # a little more than asked for, as parted buckets and cells lose a few pairs
+    bits, tables, within = plan_tables(n, limit, 1 - 0.8 * (1 - RECALL), bucket)
+    parts, found = _parted(codes, bits, tables, 7919, max(HOT * bucket, HOT * n >> bits)), []
+    for routed in parts:
+        found.append(routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _join(it, limit, within, cell), "u long, v long"))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _parted(codes: DataFrame, bits: int, tables: int, seed: int, most: int, key: str | None = None, depth: int = 0) -> list[DataFrame]:
+    """The routed copies; those of buckets with more than ``most`` members, by an estimate, are routed again by more bits."""
+    routed = codes.mapInArrow(lambda it: _route(it, bits, tables, seed, key), "bucket long, " + _WIDE)
+    if depth == 3:
+        return [routed]
+    # one fingerprint in 64 is counted: sizes matter here to a factor only, and change no result
+    share = codes.where("pmod(xxhash64(f0, f1, f2, f3), 64) = 0")
+    counts = share.mapInArrow(lambda it: _route(it, bits, tables, seed, key), "bucket long, " + _WIDE).groupBy("bucket").count()
+    hot = scratch.written(counts.where(F.col("count") * 64 > most).select("bucket"), "simhash-hot")
+    if hot.isEmpty():
+        return [routed]
+    again = routed.join(hot, "bucket", "left_semi").select("bucket", "doc_id", *_COLS)
+    more, copies, _ = plan_tables(most * 64, recall=0.97, bucket=most // HOT or 1)
+    return [routed.join(hot, "bucket", "left_anti").select("bucket", "doc_id", *_COLS), *_parted(again, more, copies, seed + 1, most, "bucket", depth + 1)]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each id's component, for all ids but the roots.
 
-    Alternating large and small stars; each round is checkpointed to the shared folder.
+    Alternating large and small stars; each round is written to the shared folder and the one before deleted.
     """
-    scratch.folder(edges.sparkSession)
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    tables = scratch.Tables(edges.sparkSession)
+    e = tables.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     sign = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct().checkpoint()
+        e = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        e = tables.written(e, "stars")
+        tables.clear(1)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == sign:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         sign = now
 
 
-def duplicates(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+def duplicates(docs: DataFrame, limit: int = MAX_BITS, bucket: int | None = None, cell: int | None = None) -> DataFrame:
     """doc_id, duplicate_of, group_size: each document but the smallest id of a group of near-duplicates."""
-    codes = scratch.written(fingerprints(docs).distinct(), "simhash")
+    tables = scratch.Tables(docs.sparkSession)
+    codes = tables.written(fingerprints(docs).distinct(), "simhash")
     same = codes.groupBy(*_COLS).agg(F.min("doc_id").alias("doc_id"))
-    same = scratch.written(same, "simhash-distinct")
-    n = same.count()
+    same = tables.written(same, "simhash-distinct")
     # an id that repeats with another text brings its groups together
-    edges = near_pairs(same, n, limit).union(codes.join(same.withColumnRenamed("doc_id", "v"), _COLS).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
+    edges = near_pairs(same, same.count(), limit, bucket, cell).union(codes.join(same.withColumnRenamed("doc_id", "v"), _COLS).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
     found = components(edges)
     size = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
-    return found.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"), "group_size")
+    out = scratch.written(found.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"), "group_size"), "simhash-groups")
+    tables.clear()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """The rows without the later documents of each group, with all their columns."""
-    gone = scratch.written(duplicates(docs, limit).select("doc_id"), "simhash-gone")
+    names, docs = docs.columns, T.plain_names(docs)
+    gone = duplicates(docs, limit).select("doc_id")
     kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = scratch.written(again, "repeated-ids")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return kept.toDF(*names)
+    # the least row of all in the order of its columns, whatever they hold
+    sortable = F.struct(*(F.to_json(F.struct(c)).alias(f"_{k}") for k, c in enumerate(docs.columns)))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), sortable).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once).toDF(*names)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

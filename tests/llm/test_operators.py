@@ -556,3 +556,35 @@ def test_merge_plans_equal_brute_force(spark, tmp_path):
             for x in "xy":
                 rest = [e for e in shards if e.name not in names and e.schema == x and e.size < 500 and 10 * 3**tier <= max(10, e.size) < 10 * 3 ** (tier + 1)]
                 assert len(rest) < 3 or sum(e.size for e in rest) > 1000 - 500
+
+
+def test_simhash_parts_hot_buckets(spark, monkeypatch):
+    r = random.Random(18)
+    base = [r.choice(VOCABULARY) + str(r.randrange(50)) for _ in range(120)]
+    texts = []
+    for i in range(900):
+        w = [r.choice(VOCABULARY) + str(r.randrange(50)) for _ in range(120)] if i % 3 else list(base)
+        for k in range(r.randrange(1, 6)):
+            w[r.randrange(120)] = f"new{i}{k}"
+        texts.append((i, " ".join(w)))
+    calls, route = [], simhash._parted
+    monkeypatch.setattr(simhash, "_parted", lambda *a: calls.append(a) or route(*a))
+    want = {i for i, g in brute_groups(texts, simhash.MAX_BITS).items() if i != g}
+    got = simhash.duplicates(spark.createDataFrame(texts, "doc_id long, text string"), bucket=16, cell=8).collect()
+    assert len(calls) > 1 and {x["doc_id"] for x in got} <= want and len(got) >= 0.97 * len(want) and len(want) >= 290
+
+
+def test_ids_of_other_types(spark, docs):
+    named = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    for refused in (suffix.repeated_passages, simhash.duplicates):
+        with pytest.raises(TypeError):
+            refused(named)
+    assert {r["doc_id"] for r in quality.assess(named).collect()} >= {"1", None} and secrets.scan(named).first()["doc_id"] == "14"
+
+
+def test_the_first_row_of_a_repeated_id_stays(spark):
+    rows_ = [(5, prose(30), "b", None), (5, "zz " + prose(30), "a", 1), (5, None, None, None), (6, prose(40), "x", 2)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, `a.b` string, x int")
+    first = simhash.drop_near_duplicates(df.repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in first) == [5, 6]
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df.repartition(2)).collect()), key=repr) == sorted(map(tuple, first), key=repr)

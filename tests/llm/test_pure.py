@@ -234,17 +234,61 @@ def test_wu_manber_equals_brute_force():
         assert sorted(zip(at.tolist(), owner.tolist())) == want
 
 
+def close_codes(r, n, groups, flips):
+    base = r.integers(0, 1 << 63, (groups, simhash.LANES), dtype=np.uint64)
+    codes = base[r.integers(0, groups, n)]
+    for _ in range(flips):
+        codes[np.arange(n), r.integers(0, simhash.LANES, n)] ^= np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)
+    return codes
+
+
+def labels_of(n, i, j):
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        m = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, m)
+        np.minimum.at(low, j, m)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
 def test_gray_index_equals_brute_force():
     r = np.random.default_rng(4)
-    base = r.integers(0, 1 << 63, (40, simhash.LANES), dtype=np.uint64)
-    codes = np.concatenate([base, base[:20], base[:30] ^ np.uint64(3)])
-    for k in range(60):
-        codes[k, k % 4] ^= np.uint64(int(r.integers(0, 1 << 20)))
-    for limit in (0, 5, 48, 130):
-        i, j = simhash.GrayIndex(codes).pairs(limit)
-        got = sorted((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist()))
+    for codes in (close_codes(r, 130, 40, 3), close_codes(r, 130, 5, 20), close_codes(r, 9, 9, 0), close_codes(r, 1, 1, 0)):
         d = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
-        assert got == [(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if d[a, b] <= limit]
+        for limit in (0, 5, 48, 130):
+            i, j = simhash.GrayIndex(codes).near(codes, limit)
+            assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, np.argwhere(d <= limit).tolist()))
+
+
+def test_links_have_the_components_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "_FRONTIER", 1 << 12)
+    r = np.random.default_rng(5)
+    for n, groups, flips in ((0, 1, 0), (1, 1, 0), (2, 1, 3), (16, 4, 9), (17, 4, 9), (400, 30, 25), (700, 3, 30), (1500, 1, 40), (1500, 1400, 25), (900, 60, 26)):
+        codes = close_codes(r, n, groups, flips)
+        d = np.concatenate([np.bitwise_count(codes[k : k + 100, None] ^ codes[None]).sum(axis=2) for k in range(0, n, 100)] or [np.zeros((0, 0))])
+        want = labels_of(n, *np.nonzero(d <= 48))
+        assert (simhash.links(codes, 48, 0.9, cell=10**6) == want).all()
+        low = simhash.links(codes, 48, 0.999, cell=20)
+        assert (want[low] == want).all() and (low == want).mean() > 0.95 if n else True
+
+
+def test_a_group_of_any_size_costs_a_link_a_member():
+    import time
+
+    codes = close_codes(np.random.default_rng(6), 20_000, 1, 20)
+    began = time.time()
+    assert (simhash.links(codes, 48, 0.9) == 0).mean() > 0.999
+    assert time.time() - began < 30
+
+
+def test_copies_grow_slowly():
+    for n in (10, 1000, 10**5, 10**6, 10**7, 10**9, 10**11):
+        bits, tables, within = simhash.plan_tables(n)
+        assert 1 - (1 - simhash._meet(bits, simhash.MAX_BITS) * within) ** tables >= simhash.RECALL
+        assert tables <= (12 if n <= 10**7 else 260)
 
 
 def test_gray_rank_neighbours_differ_in_one_bit():
