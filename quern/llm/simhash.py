@@ -8,8 +8,12 @@ groups are the connected components of that relation.
 Routing.  Equal fingerprints are joined first.  The others are shuffled to a
 few coarse buckets by sampled bits, of ``BUCKET`` members or so; how often each
 is copied grows with the number of fingerprints to the power 0.3 from some
-millions on, and not at all before.  A bucket that holds far more than its
-share is parted by further bits, again and again, before anything is shuffled.
+millions on, and not at all before.  Buckets that hold far more than their share
+are found on a sample of fingerprints.  Where one group makes most of such a
+bucket (copies with small changes, which no bits can part), its members are
+linked to a common leader and spread over salts, and all others go to every
+salt, so that each still meets each; other large buckets are parted by further
+bits.
 
 Search.  Inside a bucket, several orderings of the bits are taken in turn.
 Members are sorted by the Gray rank of their reordered codes, so that
@@ -43,7 +47,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
@@ -227,10 +231,12 @@ def plan_tables(n: int, limit: int = MAX_BITS, recall: float = RECALL, bucket: i
     return bits, best[1], best[2]
 
 
-def links(codes: np.ndarray, limit: int, recall: float, seed: int = 0, cell: int | None = None, depth: int = 0) -> np.ndarray:
-    """The smallest member of the component of each member of a bucket; a pair at the limit is found with probability ``recall`` at least."""
+def links(codes: np.ndarray, limit: int, recall: float, seed: int = 0, cell: int | None = None, depth: int = 0, led: np.ndarray | None = None) -> np.ndarray:
+    """The smallest member of the component of each member of a bucket (those that are led are in one from the start); a pair at the limit is found with probability ``recall`` at least."""
     n, cell = len(codes), cell or CELL
     low = np.arange(n)
+    if led is not None and led.any():
+        low[led] = np.flatnonzero(led)[0]
     bits = math.ceil(math.log2(n / cell)) if n > 2 * cell else 0
     # a cell that is parted again finds a pair with this probability only, which more rounds make up for
     again = 0.97
@@ -311,7 +317,7 @@ def _join(batches: Iterator[pa.RecordBatch], limit: int, recall: float, cell: in
         if group.num_rows > 1:
             group = group.sort_by("doc_id")
             codes = np.stack([group.column(c).to_numpy().view(np.uint64) for c in _COLS], axis=1)
-            low, ids = links(codes, limit, recall, 7919, cell), group.column("doc_id").to_numpy()
+            low, ids = links(codes, limit, recall, 7919, cell, led=group.column("led").to_numpy()), group.column("doc_id").to_numpy()
             moved = np.flatnonzero(ids[low] != ids)
             yield pa.record_batch({"u": pa.array(ids[moved]), "v": pa.array(ids[low[moved]])})
 
@@ -319,31 +325,52 @@ def _join(batches: Iterator[pa.RecordBatch], limit: int, recall: float, cell: in
 _WIDE = "doc_id long, " + ", ".join(f"{c} long" for c in _COLS)
 
 
+def _distance(other: str) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))) for c in _COLS))
+
+
 def near_pairs(codes: DataFrame, n: int, limit: int = MAX_BITS, bucket: int | None = None, cell: int | None = None) -> DataFrame:
     """Edges (u, v), u > v, that connect the distinct fingerprints within the limit."""
     bucket = bucket or BUCKET
     # a little more than asked for, as parted buckets and cells lose a few pairs
     bits, tables, within = plan_tables(n, limit, 1 - 0.8 * (1 - RECALL), bucket)
-    parts, found = _parted(codes, bits, tables, 7919, max(HOT * bucket, HOT * n >> bits)), []
+    parts, found = _parted(codes, bits, tables, 7919, max(HOT * bucket, HOT * n >> bits), limit)
     for routed in parts:
         found.append(routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _join(it, limit, within, cell), "u long, v long"))
     return reduce(DataFrame.union, found).distinct()
 
 
-def _parted(codes: DataFrame, bits: int, tables: int, seed: int, most: int, key: str | None = None, depth: int = 0) -> list[DataFrame]:
-    """The routed copies; those of buckets with more than ``most`` members, by an estimate, are routed again by more bits."""
-    routed = codes.mapInArrow(lambda it: _route(it, bits, tables, seed, key), "bucket long, " + _WIDE)
-    if depth == 3:
-        return [routed]
-    # one fingerprint in 64 is counted: sizes matter here to a factor only, and change no result
-    share = codes.where("pmod(xxhash64(f0, f1, f2, f3), 64) = 0")
-    counts = share.mapInArrow(lambda it: _route(it, bits, tables, seed, key), "bucket long, " + _WIDE).groupBy("bucket").count()
-    hot = scratch.written(counts.where(F.col("count") * 64 > most).select("bucket"), "simhash-hot")
+def _parted(codes: DataFrame, bits: int, tables: int, seed: int, most: int, limit: int, key: str | None = None, depth: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(routed copies, edges to leaders); buckets hold ``most`` members or so, by an estimate that changes no result."""
+    route = lambda rows: rows.mapInArrow(lambda it: _route(it, bits, tables, seed, key), "bucket long, " + _WIDE)
+    routed = route(codes).withColumn("led", F.lit(False))
+    # one fingerprint in 64 is counted
+    share = route(codes.where("pmod(xxhash64(f0, f1, f2, f3), 64) = 0"))
+    hot = scratch.written(share.groupBy("bucket").agg((F.count("*") * 64).alias("size")).where(F.col("size") > most), "simhash-hot")
     if hot.isEmpty():
-        return [routed]
-    again = routed.join(hot, "bucket", "left_semi").select("bucket", "doc_id", *_COLS)
-    more, copies, _ = plan_tables(most * 64, recall=0.97, bucket=most // HOT or 1)
-    return [routed.join(hot, "bucket", "left_anti").select("bucket", "doc_id", *_COLS), *_parted(again, more, copies, seed + 1, most, "bucket", depth + 1)]
+        return [routed], []
+    heat, sample = routed.join(hot, "bucket"), share.join(hot, "bucket")
+    # of eight members drawn at random, the one with most of the sample around it leads
+    drawn = [F.min_by(F.struct("doc_id", *_COLS), F.xxhash64("doc_id", F.lit(k))).alias(f"_{k}") for k in range(8)]
+    leaders = sample.groupBy("bucket").agg(*drawn).select("bucket", F.explode(F.array(*(F.col(f"_{k}") for k in range(8)))).alias("leader"))
+    around = sample.join(leaders, "bucket").groupBy("bucket", "leader").agg(F.count_if(_distance("leader") <= limit).alias("near"))
+    best = scratch.written(around.groupBy("bucket").agg(F.max_by("leader", F.struct("near", "leader.doc_id")).alias("leader")), "simhash-leaders")
+    heat = heat.join(best, "bucket").withColumn("led", _distance("leader") <= limit)
+    sizes = heat.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(~F.col("led")).alias("others"))
+    sizes = scratch.written(sizes.withColumn("salts", F.ceil(F.col("all") / most).cast("int")).withColumn("spread", F.col("others") * F.col("salts") <= 2 * F.col("all")), "simhash-sizes")
+    heat = heat.join(sizes, "bucket")
+    salt = F.when(F.col("led"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    spread = heat.where("spread").withColumn("salt", F.explode(salt)).select(F.xxhash64("bucket", "salt").alias("bucket"), "doc_id", *_COLS, "led")
+    edges = heat.where("spread and led").select(F.greatest("doc_id", "leader.doc_id").alias("u"), F.least("doc_id", "leader.doc_id").alias("v")).where("u <> v")
+    parts = [routed.join(hot, "bucket", "left_anti").select("bucket", "doc_id", *_COLS, "led"), spread]
+    rest = heat.where("not spread").select("bucket", "doc_id", *_COLS)
+    if sizes.where("not spread").isEmpty():
+        return parts, [edges]
+    if depth == 2:
+        return [*parts, rest.withColumn("led", F.lit(False))], [edges]
+    more, copies, _ = plan_tables(most * 64, limit, 0.97, most // HOT or 1)
+    inner, links_ = _parted(rest, more, copies, seed + 1, most, limit, "bucket", depth + 1)
+    return [*parts, *inner], [edges, *links_]
 
 
 def components(edges: DataFrame) -> DataFrame:
