@@ -12,16 +12,23 @@ any task holding the corpus.  Every window of ``WINDOW`` words has one anchor,
 the smallest hash among its runs of ``ANCHOR`` words, which depends on its
 words alone.  Consecutive windows with one anchor make a segment.  Only
 (anchor, document, place, hash of the segment) are shuffled at first.  Anchors
-of one document are dropped; where all segments at an anchor are equal, their
-windows repeat as a whole; the others' distinct segments are fetched once
-each and go through a suffix array, in which equal windows are neighbours.
-So each window is compared with all its occurrences, and copies of a segment
-cost a few bytes each however many there are.
+of one document are dropped, by an aggregation that is partial before the
+shuffle; where all segments at an anchor are equal, their windows repeat as a
+whole; the others' distinct segments are fetched once each and go through a
+suffix array, in which equal windows are neighbours.  So each window is
+compared with all its occurrences, and copies of a segment cost a few bytes
+each however many there are.  An anchor with more than ``KINDS`` distinct
+segments (a line of boilerplate in many surroundings) doesn't go to one task:
+its segments are split by the words of their windows, down to groups of equal
+windows, which are counted like copies.
 
 Words are runs of letters and digits, case folded.  Defined results: null and
 empty texts and rows without doc_id repeat nothing; rows of one doc_id are one
-document, whose own repeats don't count; ties go to the smallest doc_id; extra
-columns are ignored.
+document, whose own repeats don't count (different texts of it are reported
+side by side); ties go to the smallest doc_id; doc_id must be an integer
+(other types are refused); extra columns are ignored by
+:func:`repeated_passages` and carried by :func:`drop_passages`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +48,8 @@ WINDOW = 50
 ANCHOR = 20
 #: Symbols of one suffix array; a bucket that is larger is still taken whole.
 SYMBOLS = 200_000
+#: Distinct segments of an anchor that still go to one suffix array.
+KINDS = 2_000
 _PLACE_BITS = 22
 
 
@@ -222,11 +232,12 @@ def _routed(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
     for batch in batches:
         for part in T.pieces(batch, "text"):
             x = segments(*T.word_hashes(part.column("text")), window, anchor)
-            yield pa.record_batch({"anchor": pa.array(x["anchor"]), "doc_id": part.column("doc_id").take(pa.array(x["row"])), "at": pa.array(x["at"].astype(np.int32)), "n": pa.array(x["n"].astype(np.int32)), "segment": pa.array(x["segment"])})
+            row = pa.array(x["row"])
+            yield pa.record_batch({"anchor": pa.array(x["anchor"]), "doc_id": part.column("doc_id").take(row), "mark": part.column("mark").take(row), "at": pa.array(x["at"].astype(np.int32)), "n": pa.array(x["n"].astype(np.int32)), "segment": pa.array(x["segment"])})
 
 
-def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted segments of each document."""
+def _wanted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """Anchors, segments and words of the wanted segments of the texts of a piece."""
     for batch in batches:
         for part in T.pieces(batch, "text"):
             h, first = T.word_hashes(part.column("text"))
@@ -234,13 +245,26 @@ def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             for i, wanted in enumerate(part.column("wanted").to_pylist()):
                 for w in wanted:
                     lo = int(first[i]) + w["at"]
-                    hi = lo + w["n"] + window - 1
-                    if hi <= first[i + 1]:
-                        anchors.append(w["anchor"])
-                        codes.append(w["segment"])
-                        words.append(h[lo:hi].view(np.int64))
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
-            yield pa.record_batch({"anchor": pa.array(anchors, pa.int64()), "segment": pa.array(codes, pa.int64()), "words": pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))})
+                    anchors.append(w["anchor"])
+                    codes.append(w["segment"])
+                    words.append(h[lo : lo + w["n"] + window - 1])
+            yield anchors, codes, words
+
+
+def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for anchors, codes, words in _wanted(batches, window):
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
+        yield pa.record_batch({"anchor": pa.array(anchors, pa.int64()), "segment": pa.array(codes, pa.int64()), "words": pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int64), *(w.view(np.int64) for w in words)])))})
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, segment, skip, code) of each window of the wanted segments."""
+    for anchors, codes, words in _wanted(batches, window):
+        found = [T.rolling(w, window).view(np.int64) for w in words]
+        n = np.array([len(f) for f in found], np.int64)
+        which = np.repeat(np.arange(len(n)), n)
+        skip = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.record_batch({"anchor": pa.array(np.array(anchors, np.int64)[which]), "segment": pa.array(np.array(codes, np.int64)[which]), "skip": pa.array(skip.astype(np.int32)), "code": pa.array(np.concatenate([np.zeros(0, np.int64), *found]))})
 
 
 def _compared(batches: Iterator[pa.RecordBatch], window: int, symbols: int) -> Iterator[pa.RecordBatch]:
@@ -295,29 +319,93 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int, symbols: int) -> I
 # ---------------------------------------------------------------- operator
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, symbols: int = SYMBOLS) -> DataFrame:
+def _spans(docs: DataFrame, window: int, anchor: int, symbols: int, kinds_at_once: int, tables: scratch.Tables) -> DataFrame:
+    """doc_id, mark (of the text), s, e (words), first_doc of runs of windows that occur in several documents; runs overlap."""
+    texts = docs.where("doc_id is not null and text is not null").select(T.integer_ids(docs, "doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.shiftright(F.xxhash64("text"), 33).cast("int"))
+    found = tables.written(texts.mapInArrow(lambda it: _routed(it, window, anchor), "anchor long, doc_id long, mark int, at int, n int, segment long"), "suffix-segments")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("lo < hi")
+    several = tables.written(several.selectExpr("anchor", "lo", "a = b as alike"), "suffix-anchors")
+    # both sides are shuffled tables: a hot anchor's rows are split over tasks when the join is run
+    shared = tables.written(found.join(several, "anchor"), "suffix-shared")
+    end = window - 1
+    whole = shared.where("alike").selectExpr("doc_id", "mark", "at as s", f"at + n + {end} as e", "lo as first_doc")
+    mixed = shared.where("not alike")
+    kinds = mixed.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "mark", "at", "n")).alias("m"), F.max("doc_id").alias("hi"))
+    kinds = tables.written(kinds.selectExpr("anchor", "segment", "m.doc_id as lo", "m.mark as mark", "hi", "m.at as at", "m.n as n"), "suffix-kinds")
+    hot = tables.written(kinds.groupBy("anchor").count().where(F.col("count") > kinds_at_once).select("anchor"), "suffix-hot")
+    some_hot = not hot.isEmpty()
+    cool = kinds.join(hot, "anchor", "left_anti") if some_hot else kinds
+
+    def fetch(which: DataFrame, run, schema: str) -> DataFrame:
+        wanted = which.groupBy(F.col("lo").alias("doc_id"), "mark").agg(F.collect_list(F.struct("anchor", "segment", "at", "n")).alias("wanted"))
+        return texts.join(wanted, ["doc_id", "mark"]).select("text", "wanted").mapInArrow(lambda it: run(it, window), schema)
+
+    fetched = fetch(cool, _fetched, "anchor long, segment long, words array<long>").dropDuplicates(["anchor", "segment"]).join(cool.select("anchor", "segment", "lo", "hi"), ["anchor", "segment"])
+    runs = fetched.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _compared(it, window, symbols), "anchor long, segment long, skip int, n int, first_doc long")
+    if some_hot:
+        warm = kinds.join(hot, "anchor", "left_semi")
+        each = fetch(warm, _windows, "anchor long, segment long, skip int, code long").dropDuplicates(["anchor", "segment", "skip"]).join(warm.select("anchor", "segment", "lo", "hi"), ["anchor", "segment"])
+        each = tables.written(each, "suffix-windows")
+        equal = tables.written(each.groupBy("code").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last")).where("first_doc < last").drop("last"), "suffix-equal")
+        runs = runs.union(each.join(equal, "code").select("anchor", "segment", "skip", F.lit(1).alias("n"), "first_doc"))
+    partly = mixed.select("anchor", "segment", "doc_id", "mark", "at").join(runs, ["anchor", "segment"]).selectExpr("doc_id", "mark", "at + skip as s", f"at + skip + n + {end} as e", "first_doc")
+    return whole.union(partly)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, mark, s, e, first_doc: overlapping and adjoining spans of a text as one."""
+    order = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
+    spans = spans.withColumn("before", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("before") >= F.col("s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("doc_id", "mark", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("first_doc").alias("first_doc")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, symbols: int = SYMBOLS, kinds: int = KINDS) -> DataFrame:
     """doc_id, start_word, n_words, first_doc_id: the maximal runs of words covered by windows that also occur in another document.
 
     first_doc_id is the smallest document that has one of the run's windows.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(lambda it: _routed(it, window, anchor), "anchor long, doc_id long, at int, n int, segment long")
-    here = Window.partitionBy("anchor")
-    shared = found.withColumns({"lo": F.min("doc_id").over(here), "hi": F.max("doc_id").over(here), "a": F.min("segment").over(here), "b": F.max("segment").over(here)}).where("lo < hi")
-    shared = scratch.written(shared.selectExpr("anchor", "doc_id", "at", "n", "segment", "lo", "a = b as alike"), "suffix-anchors")
-    whole = shared.where("alike").selectExpr("doc_id", "at as s", "at + n + %d as e" % (window - 1), "lo as first_doc")
-    mixed = shared.where("not alike")
-    kinds = mixed.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "at", "n")).alias("m"), F.max("doc_id").alias("hi")).selectExpr("anchor", "segment", "m.doc_id as lo", "hi", "m.at as at", "m.n as n")
-    kinds = scratch.written(kinds, "suffix-kinds")
-    wanted = kinds.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "segment", "at", "n")).alias("wanted"))
-    fetched = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _fetched(it, window), "anchor long, segment long, words array<long>")
-    fetched = fetched.dropDuplicates(["anchor", "segment"]).join(kinds.select("anchor", "segment", "lo", "hi"), ["anchor", "segment"])
-    runs = fetched.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _compared(it, window, symbols), "anchor long, segment long, skip int, n int, first_doc long")
-    partly = mixed.select("anchor", "segment", "doc_id", "at").join(runs, ["anchor", "segment"]).selectExpr("doc_id", "at + skip as s", "at + skip + n + %d as e" % (window - 1), "first_doc")
-    order = Window.partitionBy("doc_id").orderBy("s", "e")
-    spans = whole.union(partly).withColumn("before", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("run", F.sum(F.when(F.col("before") >= F.col("s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("doc_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("first_doc").alias("first_doc_id")).selectExpr("doc_id", "cast(s as bigint) as start_word", "cast(e - s as bigint) as n_words", "first_doc_id")
+    tables = scratch.Tables(docs.sparkSession)
+    runs = _merged(_spans(docs, window, anchor, symbols, kinds, tables))
+    out = scratch.written(runs.selectExpr("doc_id", "cast(s as bigint) as start_word", "cast(e - s as bigint) as n_words", "first_doc as first_doc_id"), "suffix-runs")
+    tables.clear()
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = []
+        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
+            if text and cuts:
+                data, offs = T.buffer_of(pa.array([text]))
+                starts, _, _ = T.split(T.fold(data), offs, T.ALNUM)
+                edges, raw, kept, done = np.append(starts, len(data)), data.tobytes(), [], 0
+                for c in sorted(cuts, key=lambda c: c["s"]):
+                    kept.append(raw[done : edges[c["s"]]])
+                    done = int(edges[c["e"]])
+                text = b"".join([*kept, raw[done:]]).decode()
+            texts.append(text)
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        size = batch.schema.get_field_index("n_chars")
+        if size >= 0 and pa.types.is_integer(batch.schema.field(size).type):
+            counts = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(size).type)
+            had = pa.array([bool(c) for c in batch.column("_cuts").to_pylist()])
+            batch = batch.set_column(size, batch.schema.field(size), pc.if_else(had, counts, batch.column(size)))
+        yield batch.drop_columns(["_cuts"])
+
+
+def drop_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, symbols: int = SYMBOLS, kinds: int = KINDS) -> DataFrame:
+    """The rows with all words cut out that windows cover which a document with a smaller id has too; every row stays, if only with an empty text."""
+    names, docs = docs.columns, T.plain_names(docs)
+    tables = scratch.Tables(docs.sparkSession)
+    cuts = _merged(_spans(docs, window, anchor, symbols, kinds, tables).where("first_doc < doc_id"))
+    cuts = cuts.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("_cuts")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_cuts")
+    cuts = scratch.written(cuts, "suffix-cuts")
+    tables.clear()
+    mark = F.shiftright(F.xxhash64(docs["text"].cast("string")), 33).cast("int")
+    joined = docs.join(cuts, (docs["doc_id"] == cuts["_id"]) & (mark == cuts["_mark"]), "left").select(*docs.columns, "_cuts")
+    return joined.mapInArrow(_cut, docs.schema).toDF(*names)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

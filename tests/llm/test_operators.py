@@ -69,7 +69,7 @@ def brute_spans(texts, window):
     words = defaultdict(list)
     import pyarrow as pa
 
-    for i, t in texts:
+    for i, t in dict.fromkeys(texts):
         if i is not None and t:
             words[i].append(T.word_hashes(pa.array([t]))[0].tolist())
     where = defaultdict(set)
@@ -77,25 +77,44 @@ def brute_spans(texts, window):
         for w in many:
             for a in range(len(w) - window + 1):
                 where[tuple(w[a : a + window])].add(i)
-    out = set()
+    out = []
     for i, many in words.items():
-        spans = []
         for w in many:
+            spans = []
             for a in range(len(w) - window + 1):
                 d = where[tuple(w[a : a + window])]
                 if len(d) > 1:
                     spans.append((a, a + window, min(d)))
-        spans.sort()
-        merged = []
-        for s, e, f in spans:
-            if merged and s <= merged[-1][1]:
-                merged[-1][1], merged[-1][2] = max(e, merged[-1][1]), min(f, merged[-1][2])
-            else:
-                merged.append([s, e, f])
-        out |= {(i, s, e - s, f) for s, e, f in merged}
+            merged = []
+            for s, e, f in spans:
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1], merged[-1][2] = max(e, merged[-1][1]), min(f, merged[-1][2])
+                else:
+                    merged.append([s, e, f])
+            out += [(i, s, e - s, f) for s, e, f in merged]
     return sorted(out)
 
 
+def brute_cut(texts, window):
+    where, out = defaultdict(set), []
+    for i, t in texts:
+        if i is not None and t:
+            w = re.findall("[a-z0-9]+", t.lower())
+            for a in range(len(w) - window + 1):
+                where[tuple(w[a : a + window])].add(i)
+    for i, t in texts:
+        if i is not None and t:
+            found = list(re.finditer("[A-Za-z0-9]+", t))
+            w, gone = [m.group().lower() for m in found], set()
+            for a in range(len(w) - window + 1):
+                if min(where[tuple(w[a : a + window])]) < i:
+                    gone |= set(range(a, a + window))
+            ends = [m.start() for m in found[1:]] + [len(t)]
+            t = t[: found[0].start() if found else len(t)] + "".join(t[m.start() : e] for k, (m, e) in enumerate(zip(found, ends)) if k not in gone)
+        out.append((i, t))
+    return sorted(out, key=repr)
+
+
 def test_suffix_dedup(spark, docs, odd, empty):
     got = rows(suffix.repeated_passages(docs))
     assert got == sorted(brute_spans(TEXTS, 50), key=repr) and {r[0] for r in got} == {1, 2, 3, 4, 5, 11, 17}
@@ -120,6 +139,20 @@ def test_suffix_dedup_random(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     for window, anchor, symbols in ((12, 5, 50), (12, 5, 100_000), (20, 8, 1000)):
         assert rows(suffix.repeated_passages(df, window, anchor, symbols)) == sorted(brute_spans(texts, window), key=repr)
+    # hot anchors split by their windows' words, ids that repeat with other texts, and what is left of the texts
+    texts += [(i, texts[(i * 7) % 40][1] + " tail") for i in range(0, 40, 5)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for kinds in (1, 3, 1000):
+        assert rows(suffix.repeated_passages(df, 12, 5, 100_000, kinds)) == sorted(brute_spans(texts, 12), key=repr)
+    assert rows(suffix.drop_passages(df, 12, 5, 100_000, 2)) == brute_cut(texts, 12)
+
+
+def test_drop_passages(spark, docs, odd, empty):
+    left = suffix.drop_passages(odd)
+    assert left.columns == odd.columns and left.count() == len(TEXTS)
+    ascii_ = [(i, t) for i, t in TEXTS if i != 12]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] != 12), key=repr) == brute_cut(ascii_, 50)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in left.collect()) and suffix.drop_passages(empty).count() == 0
 
 
 def test_quality(docs, odd, empty):
