@@ -236,35 +236,34 @@ def _routed(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
             yield pa.record_batch({"anchor": pa.array(x["anchor"]), "doc_id": part.column("doc_id").take(row), "mark": part.column("mark").take(row), "at": pa.array(x["at"].astype(np.int32)), "n": pa.array(x["n"].astype(np.int32)), "segment": pa.array(x["segment"])})
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Anchors, segments and words of the wanted segments of the texts of a piece."""
+def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, segment, words, skip, code): the words of the wanted segments of the texts, or, at hot anchors, the hash of each of their windows."""
     for batch in batches:
         for part in T.pieces(batch, "text"):
             h, first = T.word_hashes(part.column("text"))
-            anchors, codes, words = [], [], []
+            keys, words, codes = [], [], []
             for i, wanted in enumerate(part.column("wanted").to_pylist()):
                 for w in wanted:
                     lo = int(first[i]) + w["at"]
-                    anchors.append(w["anchor"])
-                    codes.append(w["segment"])
-                    words.append(h[lo : lo + w["n"] + window - 1])
-            yield anchors, codes, words
-
-
-def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for anchors, codes, words in _wanted(batches, window):
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
-        yield pa.record_batch({"anchor": pa.array(anchors, pa.int64()), "segment": pa.array(codes, pa.int64()), "words": pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int64), *(w.view(np.int64) for w in words)])))})
-
-
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, skip, code) of each window of the wanted segments."""
-    for anchors, codes, words in _wanted(batches, window):
-        found = [T.rolling(w, window).view(np.int64) for w in words]
-        n = np.array([len(f) for f in found], np.int64)
-        which = np.repeat(np.arange(len(n)), n)
-        skip = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.record_batch({"anchor": pa.array(np.array(anchors, np.int64)[which]), "segment": pa.array(np.array(codes, np.int64)[which]), "skip": pa.array(skip.astype(np.int32)), "code": pa.array(np.concatenate([np.zeros(0, np.int64), *found]))})
+                    x = h[lo : lo + w["n"] + window - 1]
+                    if w["hot"]:
+                        x = T.rolling(x, window).view(np.int64)
+                        codes += [(w["anchor"], w["segment"], k, c) for k, c in enumerate(x.tolist())]
+                    else:
+                        keys.append((w["anchor"], w["segment"]))
+                        words.append(x.view(np.int64))
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
+            n, m = len(keys), len(codes)
+            lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int64), *words])))
+            yield pa.record_batch(
+                {
+                    "anchor": pa.array([k[0] for k in keys] + [c[0] for c in codes], pa.int64()),
+                    "segment": pa.array([k[1] for k in keys] + [c[1] for c in codes], pa.int64()),
+                    "words": pa.concat_arrays([lists, pa.nulls(m, lists.type)]),
+                    "skip": pa.array([None] * n + [c[2] for c in codes], pa.int32()),
+                    "code": pa.array([None] * n + [c[3] for c in codes], pa.int64()),
+                }
+            )
 
 
 def _compared(batches: Iterator[pa.RecordBatch], window: int, symbols: int) -> Iterator[pa.RecordBatch]:
@@ -327,6 +326,7 @@ def _spans(docs: DataFrame, window: int, anchor: int, symbols: int, kinds_at_onc
     several = tables.written(several.selectExpr("anchor", "lo", "a = b as alike"), "suffix-anchors")
     # both sides are shuffled tables: a hot anchor's rows are split over tasks when the join is run
     shared = tables.written(found.join(several, "anchor"), "suffix-shared")
+    tables.clear(1)
     end = window - 1
     whole = shared.where("alike").selectExpr("doc_id", "mark", "at as s", f"at + n + {end} as e", "lo as first_doc")
     mixed = shared.where("not alike")
@@ -334,18 +334,17 @@ def _spans(docs: DataFrame, window: int, anchor: int, symbols: int, kinds_at_onc
     kinds = tables.written(kinds.selectExpr("anchor", "segment", "m.doc_id as lo", "m.mark as mark", "hi", "m.at as at", "m.n as n"), "suffix-kinds")
     hot = tables.written(kinds.groupBy("anchor").count().where(F.col("count") > kinds_at_once).select("anchor"), "suffix-hot")
     some_hot = not hot.isEmpty()
-    cool = kinds.join(hot, "anchor", "left_anti") if some_hot else kinds
-
-    def fetch(which: DataFrame, run, schema: str) -> DataFrame:
-        wanted = which.groupBy(F.col("lo").alias("doc_id"), "mark").agg(F.collect_list(F.struct("anchor", "segment", "at", "n")).alias("wanted"))
-        return texts.join(wanted, ["doc_id", "mark"]).select("text", "wanted").mapInArrow(lambda it: run(it, window), schema)
-
-    fetched = fetch(cool, _fetched, "anchor long, segment long, words array<long>").dropDuplicates(["anchor", "segment"]).join(cool.select("anchor", "segment", "lo", "hi"), ["anchor", "segment"])
-    runs = fetched.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _compared(it, window, symbols), "anchor long, segment long, skip int, n int, first_doc long")
+    kinds = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").fillna(False, "hot") if some_hot else kinds.withColumn("hot", F.lit(False))
+    wanted = kinds.groupBy(F.col("lo").alias("doc_id"), "mark").agg(F.collect_list(F.struct("anchor", "segment", "at", "n", "hot")).alias("wanted"))
+    # the texts are shuffled once, for both ways
+    fetched = texts.join(wanted, ["doc_id", "mark"]).select("text", "wanted").mapInArrow(lambda it: _fetched(it, window), "anchor long, segment long, words array<long>, skip int, code long")
+    ends = kinds.select("anchor", "segment", "lo", "hi")
+    if some_hot:
+        fetched = tables.written(fetched, "suffix-fetched")
+    words = fetched.where("words is not null").select("anchor", "segment", "words").dropDuplicates(["anchor", "segment"]).join(ends, ["anchor", "segment"])
+    runs = words.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _compared(it, window, symbols), "anchor long, segment long, skip int, n int, first_doc long")
     if some_hot:
-        warm = kinds.join(hot, "anchor", "left_semi")
-        each = fetch(warm, _windows, "anchor long, segment long, skip int, code long").dropDuplicates(["anchor", "segment", "skip"]).join(warm.select("anchor", "segment", "lo", "hi"), ["anchor", "segment"])
-        each = tables.written(each, "suffix-windows")
+        each = fetched.where("words is null").select("anchor", "segment", "skip", "code").dropDuplicates(["anchor", "segment", "skip"]).join(ends, ["anchor", "segment"])
         equal = tables.written(each.groupBy("code").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last")).where("first_doc < last").drop("last"), "suffix-equal")
         runs = runs.union(each.join(equal, "code").select("anchor", "segment", "skip", F.lit(1).alias("n"), "first_doc"))
     partly = mixed.select("anchor", "segment", "doc_id", "mark", "at").join(runs, ["anchor", "segment"]).selectExpr("doc_id", "mark", "at + skip as s", f"at + skip + n + {end} as e", "first_doc")
