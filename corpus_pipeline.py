@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results: null and empty texts pass all stages (null ones come out with
+null tokens); rows without doc_id are kept, unless their text is toxic or
+contaminated; of several rows with one doc_id, one stays after the
+near-duplicate stage; extra columns, whatever their names, are carried up to
+the last stage, which returns its own; an empty table gives an empty result.
+Stage tables are deleted once the next one is written.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, of the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = scratch.Tables(spark)
     for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tables.clear(1)
     return docs
-
