@@ -26,18 +26,18 @@ class Field:
     weight: float = 1.0
 
     def stored(self) -> Column:
-        """The field as it is stored: dates as epoch seconds, numbers as double."""
+        """The field as it is stored: dates as epoch seconds, numbers as double; null for what is no date, number or key."""
         c = F.col(self.name)
         kind = {"primarykey": KEYS.get(self.primarykey_type), "numeric": "double"}.get(self.type)
         if self.type == "date":
             return dates.to_epoch(c).alias(self.name)
-        return c.cast(kind).alias(self.name) if kind else c
+        return c.try_cast(kind).alias(self.name) if kind else c
 
-    def tokens(self) -> Column:
-        """array<string> of what is looked up in this field."""
+    def tokens(self, analyzers: dict[str, analysis.Analyzer] | None = None) -> Column:
+        """array<string> of what is looked up in this field; ``analyzers`` come before the registered ones."""
         c = F.col(self.name)
         if self.type == "text":
-            return analysis.analyzer(self.analyzer)(c.cast("string"))
+            return ((analyzers or {}).get(self.analyzer) or analysis.analyzer(self.analyzer))(c.cast("string"))
         return F.when(c.isNotNull(), F.array(c.cast("string")))
 
 
@@ -79,8 +79,13 @@ class Mapping:
         return [f for f in self.fields if f.index and f.type != "primarykey"]
 
     def store(self, rows: DataFrame) -> DataFrame:
-        """The stored fields, one row for each key."""
-        return rows.select(*(f.stored() for f in self.fields)).where(F.col(self.key.name).isNotNull()).dropDuplicates([self.key.name])
+        """The stored fields, one row for each key: the least of its rows, field by field."""
+        stored = rows.select(*(f.stored() for f in self.fields)).where(F.col(self.key.name).isNotNull())
+        others = [f.name for f in self.fields if f.type != "primarykey"]
+        if not others:
+            return stored.distinct()
+        least = stored.groupBy(self.key.name).agg(F.min(F.struct(*others)).alias("_least"))
+        return least.select(self.key.name, "_least.*").select(*(f.name for f in self.fields))
 
     def to_json(self) -> str:
         return json.dumps({"name": self.name, "field": [asdict(f) for f in self.fields]}, ensure_ascii=False)

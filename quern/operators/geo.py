@@ -139,6 +139,54 @@ def neighbors(h: Column | str) -> Column:
     return _with_cells(_col(h), lambda c: F.struct(*(_moved(c, d, F.length(_col(h))).alias(d) for d in ("n", "ne", "e", "se", "s", "sw", "w", "nw"))))
 
 
+def with_cells(rows: DataFrame, h: str, longest: int = LONGEST) -> DataFrame:
+    """The rows with ``_x``, ``_y`` (south-west corner in 30 bit cells) and ``_size`` (letters) of a geohash column; null for other strings and longer ones.
+
+    Plain columns, which generated code computes once, where the functions of a
+    column above have to bind them in a lambda.
+    """
+    low = F.lower(F.col(h))
+    x, y = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(longest):
+        at = F.greatest(F.instr(F.lit(_MIXED), F.substring(low, k + 1, 1)) - 1, F.lit(0)).cast("long")
+        a, b = _shifts(k)
+        three, two = F.shiftleft(F.shiftright(at, 2), a), F.shiftleft(at.bitwiseAND(F.lit(3).cast("long")), b)
+        x, y = (x + three, y + two) if k % 2 == 0 else (x + two, y + three)
+    good = low.rlike(f"^[{ALPHABET}]{{1,{longest}}}$")
+    return rows.withColumns({"_x": F.when(good, x), "_y": F.when(good, y), "_size": F.when(good, F.length(low))})
+
+
+def with_neighbors(rows: DataFrame, h: str, longest: int = LONGEST) -> DataFrame:
+    """The rows with the eight neighbours as columns n, ne, e, se, s, sw, w, nw; null for other strings and those of more than ``longest`` letters."""
+    cells = with_cells(rows, h, longest)
+    wide, tall = (_size(part(F.col("_size") * 5 / 2)).cast("long") for part in (F.ceil, F.floor))
+    last = F.lit((1 << 30) - 1).cast("long")
+    moved = {f"_x{d}": (F.col("_x") + wide * d).bitwiseAND(last) for d in (-1, 0, 1)} | {f"_y{d}": (F.col("_y") + tall * d).bitwiseAND(last) for d in (-1, 0, 1)}
+    cells = cells.withColumns(moved)
+
+    def letter(x: Column, y: Column, k: int) -> Column:
+        three, two = (x, y) if k % 2 == 0 else (y, x)
+        a, b = _shifts(k)
+        number = F.shiftright(three, a).bitwiseAND(F.lit(7).cast("long")) * 4 + F.shiftright(two, b).bitwiseAND(F.lit(3).cast("long"))
+        return F.when(F.col("_size") > k, F.substring(F.lit(_MIXED), number.cast("int") + 1, F.lit(1))).otherwise("")
+
+    spelt = {d: F.when(F.col("_size").isNotNull(), F.concat(*(letter(F.col(f"_x{dx}"), F.col(f"_y{dy}"), k) for k in range(longest)))) for d, (dx, dy) in _STEPS.items()}
+    return cells.select(*rows.columns, *(c.alias(d) for d, c in spelt.items()))
+
+
+def with_decoded(rows: DataFrame, h: str) -> DataFrame:
+    """The rows with lat, lon (centre, rounded to what the cell's size warrants), south, west, north, east."""
+    cells = with_cells(rows, h).withColumns({"_wide": _size(F.ceil(F.col("_size") * 5 / 2)), "_tall": _size(F.floor(F.col("_size") * 5 / 2))})
+
+    def rounded(v: Column, size: Column) -> Column:
+        unit = F.pow(F.lit(10.0), F.greatest(F.floor(2 - F.log10(size)), F.lit(0)))
+        return F.round(v * unit) / unit
+
+    x, y, wide, tall = (F.col(c) for c in ("_x", "_y", "_wide", "_tall"))
+    out = {"lat": rounded((y + tall * 0.5) * _LAT - 90, tall * _LAT), "lon": rounded((x + wide * 0.5) * _LON - 180, wide * _LON), "south": y * _LAT - 90, "west": x * _LON - 180, "north": (y + tall) * _LAT - 90, "east": (x + wide) * _LON - 180}
+    return cells.select(*rows.columns, *(c.alias(n) for n, c in out.items()))
+
+
 def decimals(value: Column | str) -> Column:
     """Decimal places of a number, 14 at most."""
     text = F.format_number(_col(value).cast("double"), 14)

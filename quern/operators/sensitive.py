@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def replace(text: Column | str, words: list[str], mask: str = "**", case_sensiti
 
 
 def hits(rows: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_id", case_sensitive: bool = True) -> DataFrame:
-    """(key, position from 0, word) of all hits, nested and overlapping ones too.
+    """(key, position from 0, word) of all hits, nested and overlapping ones too; repeated rows give their hits again.
 
     For short lists the text is split before each place where some word begins;
     with longer ones, substrings of the lengths that occur are joined with the list.
@@ -54,9 +55,10 @@ def hits(rows: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_
     if len(few) <= MOST_IN_PATTERN:
         return _few_hits(source, key, few)
     sizes = [r[0] for r in clean.select(F.length("word")).distinct().collect()]
-    starts = source.where(F.length("_t") > 0).select(key, F.posexplode(F.split("_t", "")).alias("position", "_c"), "_t")
-    cuts = starts.select(key, "position", F.explode(F.array(*(F.substring(F.col("_t"), F.col("position") + 1, F.lit(n)) for n in sizes))).alias("word"))
-    return cuts.join(clean, "word").select(key, "position", "word").distinct()
+    # pieces alone are exploded, never the text they come from
+    cut = lambda n: F.when(F.length("_t") >= n, F.transform(F.sequence(F.lit(0), F.length("_t") - n), lambda i: F.struct(i.alias("position"), F.substring(F.col("_t"), i + 1, F.lit(n)).alias("word"))))
+    pieces = reduce(DataFrame.union, (source.select(key, F.explode(cut(n)).alias("p")).select(key, "p.*") for n in sorted(sizes)))
+    return pieces.join(clean, "word").select(key, "position", "word")
 
 
 def _few_hits(source: DataFrame, key: str, words: list[str]) -> DataFrame:
@@ -67,7 +69,7 @@ def _few_hits(source: DataFrame, key: str, words: list[str]) -> DataFrame:
     nothing = F.array().cast("array<int>")
     first = F.when(F.col("_t").rlike(f"^(?:{rx})"), F.array(F.lit(0))).otherwise(nothing)
     after = F.aggregate(F.col("_p"), F.struct(F.lit(0).alias("at"), nothing.alias("all")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all")), lambda a: F.slice(a["all"], F.lit(1), F.size(a["all"]) - 1))
-    places = F.transform(F.concat(first, after), lambda i: F.struct(i.alias("position"), F.substring(F.col("_t"), i + 1, F.lit(longest)).alias("ahead")))
+    places = F.transform(F.array_distinct(F.concat(first, after)), lambda i: F.struct(i.alias("position"), F.substring(F.col("_t"), i + 1, F.lit(longest)).alias("ahead")))
     found = pieces.select(key, F.explode(places).alias("h"))
     each = F.filter(F.split(F.lit("|".join(words)), r"\|"), lambda w: F.startswith(F.col("h.ahead"), w))
-    return found.select(key, F.col("h.position").alias("position"), F.explode(each).alias("word")).distinct()
+    return found.select(key, F.col("h.position").alias("position"), F.explode(each).alias("word"))

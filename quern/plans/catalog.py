@@ -35,8 +35,9 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     wide = spark.sparkContext.defaultParallelism
-    # a table of a few files is read by a few tasks; text work then leaves the other cores idle
-    return rows.repartition(wide) if name in TEXTS and len(rows.inputFiles()) < wide else rows
+    # a text table that the reader itself parts in fewer tasks than there are cores is spread over them; it has
+    # less than a partition's bytes a core then, so that what is moved is bounded, and large tables stay where they are
+    return rows.repartition(wide) if name in TEXTS and rows._jdf.queryExecution().toRdd().getNumPartitions() < wide else rows
 
 
 _RX = "'" + analysis.BLOCKS.replace("'", "''") + "'"
@@ -205,7 +206,7 @@ def index_postings(spark, sf_dir):
     return found.withColumn("positions", F.concat_ws(" ", F.col("positions").cast("array<string>")))
 
 
-@query(f"select field, term, count(*) as df, sum(tf)::bigint as tf from (select 'text' as field, term, doc_id, count(*) as tf from (select doc_id, unnest({_TOKENS}) as term from documents) group by all union all select 'lang', lang, doc_id, 1 from documents union all select 'n_chars', n_chars::double::varchar, doc_id, 1 from documents) where field <> 'n_chars' group by field, term")
+@query(f"select field, term, count(*) as df, sum(tf)::bigint as tf from (select 'text' as field, term, doc_id, count(*) as tf from (select doc_id, unnest({_TOKENS}) as term from documents) group by all union all select 'lang', lang, doc_id, 1 from documents union all select 'n_chars', n_chars::double::varchar, doc_id, 1 from documents) group by field, term")
 def incremental_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     index = Index(spark, store.new_folder(spark, "merged"))
@@ -214,7 +215,7 @@ def incremental_merge(spark, sf_dir):
         index.add(part)
         index.build()
     index.compact()
-    return index.postings().where("field <> 'n_chars'").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index.postings().groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"with {_POSTINGS} select term, count(*) as df, round(any_value(idf), 6) as idf from tf join idf using (term) group by term")
@@ -320,8 +321,7 @@ def geohash_encode(spark, sf_dir):
 round(((x + 0.5) * (360.0::double / 262144) - 180) * 10000) / 10000 as lon, round(y * (180.0::double / 131072) - 90, 9) as south, round((x + 1) * (360.0::double / 262144) - 180, 9) as east from ({_XY})""")
 def geohash_decode(spark, sf_dir):
     h = _points(spark, sf_dir).select("event_id", geo.encode("lat", "lon", 7).alias("h"))
-    d = h.withColumn("d", geo.decode("h")).withColumn("b", geo.bounds("h"))
-    return d.select("event_id", "h", F.col("d.lat").alias("lat"), F.col("d.lon").alias("lon"), F.round("b.sw.lat", 9).alias("south"), F.round("b.ne.lon", 9).alias("east"))
+    return geo.with_decoded(h, "h").select("event_id", "h", "lat", "lon", F.round("south", 9).alias("south"), F.round("east", 9).alias("east"))
 
 
 def _duck_neighbour(dx: int, dy: int) -> str:
@@ -332,8 +332,7 @@ def _duck_neighbour(dx: int, dy: int) -> str:
 
 @query(f"select event_id, {', '.join(f'{_duck_neighbour(*geo._STEPS[d])} as {d}' for d in geo._STEPS)} from ({_XY})")
 def geohash_neighbors(spark, sf_dir):
-    near = _points(spark, sf_dir).select("event_id", geo.neighbors(geo.encode("lat", "lon", 7)).alias("n"))
-    return near.select("event_id", "n.*")
+    return geo.with_neighbors(_points(spark, sf_dir).select("event_id", geo.encode("lat", "lon", 7).alias("h")), "h", 7).drop("h")
 
 
 @query("select * from (values (1, 'ezs42', 0), (2, 'u4pruydqqvj8', 1), (3, 'u4pruydqqvjw', 5)) t(id, h, places)")
@@ -469,6 +468,17 @@ def segment_full(spark, sf_dir):
     return rows.select("t", F.array_join(segment.segment_all("t", words), ",").alias("tokens"), F.array_join(segment.segmenter(words, "sub")("t"), ",").alias("sub"))
 
 
+@query("select * from (values (2, 1.386294::double), (1, 0.693147::double)) t(doc_id, score)")
+def match_segmented(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "中国人民银行"), (2, "人民银行的人民银行"), (3, "中国人民"), (4, "银行")], "doc_id long, body string")
+    words = spark.createDataFrame([(w,) for w in _WORDS], "word string")
+    index = Index(spark, store.new_folder(spark, "segmented"), dictionary=words)
+    index.create(Mapping("han", (Field("doc_id", "primarykey"), Field("body", "text", index=True, analyzer="segment"))))
+    index.add(rows)
+    index.build()
+    return index.search({"match": {"field": {"name": "body", "query": "人民银行"}, "_source": ["doc_id"]}}).withColumn("score", F.round("score", 6))
+
+
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus")
 def cached_result(spark, sf_dir):
     results = cache.ResultCache(spark, store.new_folder(spark, "cache"))

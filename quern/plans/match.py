@@ -14,9 +14,9 @@ from quern.mapping import Field
 from quern.operators import geo, ordering
 
 
-def postings(rows: DataFrame, key: str, fields: list[Field], positions: bool = True) -> DataFrame:
+def postings(rows: DataFrame, key: str, fields: list[Field], positions: bool = True, analyzers: dict | None = None) -> DataFrame:
     """field, term, doc_id, tf, positions of the indexed fields."""
-    parts = F.array(*(F.struct(F.lit(f.name).alias("field"), f.tokens().alias("tokens")) for f in fields))
+    parts = F.array(*(F.struct(F.lit(f.name).alias("field"), f.tokens(analyzers).alias("tokens")) for f in fields))
     flat = rows.select(F.col(key).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.field", F.posexplode("p.tokens").alias("pos", "term"))
     aggs = [F.count("*").alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])
     return flat.groupBy("field", "term", "doc_id").agg(*aggs)

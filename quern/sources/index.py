@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from quern.errors import IndexError_
 from quern.mapping import KEYS, Mapping, fast_mapping
-from quern.operators import analysis
+from quern.operators import analysis, segment
 from quern.plans import match as M
 from quern.sources import store
 
 
 class Index:
-    def __init__(self, spark: SparkSession, folder: str, synonyms: DataFrame | None = None):
-        self.spark, self.folder, self.synonyms = spark, folder.rstrip("/"), synonyms
+    def __init__(self, spark: SparkSession, folder: str, synonyms: DataFrame | None = None, dictionary: DataFrame | None = None):
+        """``dictionary`` (column ``word``) is what the analyzer ``segment`` cuts Han text by; without one, each character is a token."""
+        self.spark, self.folder, self.synonyms, self.analyzers = spark, folder.rstrip("/"), synonyms, {}
+        if dictionary is not None:
+            cut = segment.segmenter(segment.load(dictionary))
+            self.analyzers["segment"] = lambda c: F.transform(cut(c), lambda t: F.lower(t))
 
     # ---------------------------------------------------------------- life cycle
 
@@ -73,7 +77,7 @@ class Index:
         meta = self._meta()
         mapping = Mapping.of(meta["mapping"])
         for name in meta["docs"][len(meta["postings"]) :]:
-            found = M.postings(self.spark.read.parquet(f"{self.folder}/{name}"), mapping.key.name, mapping.indexed)
+            found = M.postings(self.spark.read.parquet(f"{self.folder}/{name}"), mapping.key.name, mapping.indexed, analyzers=self.analyzers)
             target = name.replace("docs", "postings")
             self._write_postings(found, target)
             meta["postings"].append(target)
@@ -124,7 +128,7 @@ class Index:
         if missing := [f for f in q.field if f not in fields]:
             raise IndexError_(f"not indexed: {missing}")
         analyzer = fields[q.field[0]].analyzer if fields[q.field[0]].type == "text" else "keyword"
-        row = self.spark.createDataFrame([(q.query,)], "q string").select(analysis.analyzer(analyzer)(F.col("q")).alias("t")).first()
+        row = self.spark.createDataFrame([(q.query,)], "q string").select((self.analyzers.get(analyzer) or analysis.analyzer(analyzer))(F.col("q")).alias("t")).first()
         clauses = M.expand(row["t"] or [], self.synonyms)
         found = self.postings().where(F.col("field").isin(q.field))
         if not clauses:
