@@ -332,7 +332,7 @@ def _duck_neighbour(dx: int, dy: int) -> str:
 
 @query(f"select event_id, {', '.join(f'{_duck_neighbour(*geo._STEPS[d])} as {d}' for d in geo._STEPS)} from ({_XY})")
 def geohash_neighbors(spark, sf_dir):
-    return geo.with_neighbors(_points(spark, sf_dir).select("event_id", geo.encode("lat", "lon", 7).alias("h")), "h", 7).drop("h")
+    return geo.with_neighbors(_points(spark, sf_dir).select("event_id", geo.encode("lat", "lon", 7).alias("h")), "h").drop("h")
 
 
 @query("select * from (values (1, 'ezs42', 0), (2, 'u4pruydqqvj8', 1), (3, 'u4pruydqqvjw', 5)) t(id, h, places)")

@@ -64,6 +64,9 @@ def test_dates(spark):
     assert one(spark, "2024-03-05 06:07:08", "string", lambda c: dates.format_epoch(dates.to_epoch(c), "Y/n/j G:i")) == "2024/3/5 6:07"
     assert one(spark, "05-03-2024", "string", dates.to_epoch) == 1709596800
     assert one(spark, "nonsense", "string", dates.to_epoch) is None
+    assert one(spark, "n/a", "string", lambda c: dates.format_epoch(c, "Y")) is None
+    for text, both, day in (("2023-12-31 00:59:59", True, False), ("2023-00-10", False, False), ("10-13-2023", False, False), ("2023-01-32", False, False), ("2023-01-01 10:60:00", False, False), ("01-02-2023", True, True), ("", False, False)):
+        assert one(spark, text, "string", dates.is_date_time) == both and one(spark, text, "string", dates.is_date) == day
 
 
 def test_pinyin_covers_level_one():
@@ -77,10 +80,15 @@ def test_replace(spark):
     assert one(spark, "A.C a.c", "string", lambda c: sensitive.replace(c, ["a.c", ""], "$1")) == "A.C $1"
 
 
-def test_sensitive_hits_overlap_and_repeat(spark):
+def test_sensitive_hits_overlap_and_repeat(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "aaa"), (2, None), (3, ""), (4, "0a")], "doc_id long, text string")
     got = sensitive.hits(rows, spark.createDataFrame([("a a",), ("A",), ("0a",), ("",)], "word string"))
-    assert sorted(map(tuple, got.collect())) == [(1, 0, "a"), (1, 0, "aa"), (1, 1, "a"), (1, 1, "aa"), (1, 2, "a"), (4, 0, "0a"), (4, 1, "a")]
+    want = [(1, 0, "a"), (1, 0, "aa"), (1, 1, "a"), (1, 1, "aa"), (1, 2, "a"), (4, 0, "0a"), (4, 1, "a")]
+    assert sorted(map(tuple, got.collect())) == want
+    words = spark.createDataFrame([("a a",), ("A",), ("0a",), ("",)], "word string")
+    for most in (2000, 1):
+        monkeypatch.setattr(sensitive, "MOST_IN_PATTERN", most)
+        assert sorted(map(tuple, sensitive.hits(rows.union(rows), words).collect())) == sorted(want * 2)
 
 
 def test_geohash_properties(spark):
@@ -93,6 +101,11 @@ def test_geohash_properties(spark):
     known = spark.createDataFrame([(57.64911, 10.40744, 11, "u4pruydqqvj"), (39.9042, 116.4074, 8, "wx4g0bm6"), (31.2304, 121.4737, 12, "wtw3sjq6q2e8"), (0.0, 0.0, 5, "s0000")], "lat double, lon double, p int, h string")
     for x in known.select("h", "p", *(geo.encode("lat", "lon", p).alias(f"p{p}") for p in (5, 8, 11, 12))).collect():
         assert x[f"p{x['p']}"] == x["h"]
+    odd = spark.createDataFrame([("u4pruydqqvj8",), ("s",), ("U4P",), ("",), (None,), ("s0a",), ("é0",), ("u4pruydqqvj8x",), ("zzz",), ("000",)], "h string")
+    for x in geo.with_neighbors(odd, "h").withColumn("all", geo.neighbors("h")).collect():
+        assert x["all"] is None and x["n"] is None if x["all"] is None else all(x[d] == x["all"][d] for d in geo._STEPS)
+    for x in geo.with_decoded(odd, "h").withColumn("d", geo.decode("h")).withColumn("b", geo.bounds("h")).collect():
+        assert (x["lat"], x["lon"]) == ((None, None) if x["d"] is None else tuple(x["d"])) and (x["b"] is None or x["north"] == x["b"]["ne"]["lat"])
     assert one(spark, 91.0, "double", lambda c: geo.encode(c, F.lit(0.0))) is None
     assert one(spark, "s0a", "string", lambda c: geo.decode(c)) is None
 
