@@ -84,7 +84,8 @@ class Index:
         self._save(meta)
 
     def _write_postings(self, found: DataFrame, name: str) -> None:
-        found.repartition("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").mode("overwrite").parquet(f"{self.folder}/{name}")
+        # by range with the key as the last column: a term that most documents have is split over many tasks and files
+        found.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").mode("overwrite").parquet(f"{self.folder}/{name}")
 
     def compact(self) -> None:
         """One batch of documents and one of postings instead of many."""

@@ -48,10 +48,19 @@ def write(rows: DataFrame, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces the file by one rename, so that a writer that dies leaves the old text or the new one."""
     p, fs = _fs(spark, path)
-    stream = fs.create(p, True)
+    aside, _ = _fs(spark, f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
     stream.write(bytearray(text.encode()))
     stream.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    uri = fs.makeQualified(p)
+    context = hadoop.FileContext.getFileContext(uri.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(aside), uri, options)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

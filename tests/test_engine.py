@@ -17,7 +17,7 @@ from quern.mapping import Mapping
 from quern.operators import analysis, cache, geo, ordering, postings, segment, sensitive
 from quern.plans import catalog
 from quern.plans import match as M
-from quern.sources import files
+from quern.sources import files, store
 from quern.sources.index import Index
 from quern.streaming import live
 
@@ -162,6 +162,29 @@ def test_index_life_cycle(spark, tmp_path):
     assert not index.exists()
 
 
+def test_meta_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "a" / "meta.json")
+    store.write_text(spark, path, "old")
+    store.write_text(spark, path, "new")
+    assert store.read_text(spark, path) == "new"
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["meta.json"]
+
+
+def test_frequent_term_is_split_over_tasks(spark, tmp_path):
+    """Every row holds the term; its postings must be in several files and still be found whole."""
+    index = Index(spark, str(tmp_path / "hot"))
+    index.create({"name": "hot", "field": [{"name": "id", "type": "primarykey"}, {"name": "t", "type": "text", "index": True}]})
+    index.add(spark.range(20000).select("id", F.concat(F.lit("the w"), F.col("id").cast("string")).alias("t")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.build()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hits = index.postings().where("term = 'the'")
+    assert hits.count() == 20000
+    assert hits.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_mapping_errors():
     for bad in ({"name": "x", "field": []}, {"name": "x", "field": [{"name": "a", "type": "what"}]}, {"field": []}):
         with pytest.raises(MappingError):
