@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 HAN = r"\x{4E00}-\x{9FA5}"
 #: Runs of one script, words of ASCII letters, digits and dots, or one mark; all else is dropped.
 BLOCKS = rf"""[{HAN}]+|[\x{{3040}}-\x{{309F}}]+|[\x{{30A0}}-\x{{30FF}}]+|[\x{{AC00}}-\x{{D7AF}}]+|[a-zA-Z0-9.]+|[-_+!@#$%^&*()|}}{{“”：":?><,./';\[\]~～！￥…（）—？》《·。，℃、；]"""
+#: What :func:`standard` gives, in one pass: blocks with ASCII letters or digits whole, every other character of a block by itself.
+#: Dots are tried as the beginning of a block only where a run of them begins, so that long runs take linear time.
+TOKENS = rf"""[a-zA-Z0-9][a-zA-Z0-9.]*+|(?<!\.)\.++[a-zA-Z0-9][a-zA-Z0-9.]*+|[{HAN}\x{{3040}}-\x{{309F}}\x{{30A0}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}{BLOCKS[BLOCKS.rindex("[-_+") + 1 :]}"""
 WORDS = r"[\p{L}\p{N}.]+"
 
 Analyzer = Callable[[Column], Column]
@@ -48,7 +51,7 @@ def _chars(b: Column) -> Column:
 
 def standard(text: Column | str, lowercase: bool = False) -> Column:
     """Blocks with ASCII letters or digits whole, all others per character (what a dictionary without words gives)."""
-    out = _per_block(text, _chars)
+    out = F.regexp_extract_all(_col(text), F.lit(TOKENS), F.lit(0))
     return F.transform(out, lambda t: F.lower(t)) if lowercase else out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from dataclasses import field as _field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,68 @@ from quern.mapping import Field
 from quern.operators import geo, ordering
 
 
+#: Tokens that are sorted at a time in a worker, whole rows; a longer row is sorted by itself.
+CHUNK = 1_000_000
+
+
+def _rows_postings(tokens, keys):
+    """Arrow batches (term, doc_id, tf, positions) of one batch of token lists: a sort of (row, term) for each chunk of rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        lengths = np.diff(ends[at:to], prepend=base)
+        values = tokens.slice(at, to - at).flatten().dictionary_encode(null_encoding="encode")
+        row = np.repeat(np.arange(to - at), lengths)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        code = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        both = row * max(len(values.dictionary), 1) + code
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        begins = np.flatnonzero(np.diff(both, prepend=-1))
+        first = order[begins]
+        tf = np.diff(begins, append=len(both))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(both)).astype(np.int32)), pa.array(place[order]))
+        yield pa.RecordBatch.from_arrays([values.dictionary.take(pa.array(code[first])), keys.take(pa.array(row[first] + at)), pa.array(tf.astype(np.int64)), positions], ["term", "doc_id", "tf", "positions"])
+        at = to
+
+
+def field_postings(rows: DataFrame, key: str, field: Field, analyzers: dict | None = None) -> DataFrame:
+    """term, doc_id, tf, positions of one field, each row by itself: nothing is shuffled. For rows whose keys differ."""
+
+    def local(batches):
+        for b in batches:
+            yield from _rows_postings(b.column(1), b.column(0))
+
+    flat = rows.select(F.col(key).alias("doc_id"), field.tokens(analyzers).alias("tokens"))
+    return flat.mapInArrow(local, f"term string, doc_id {flat.schema['doc_id'].dataType.simpleString()}, tf long, positions array<int>")
+
+
+def apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows whose key no other row has, the other rows (None without such), and the number of all; the keys alone are read for this."""
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    n, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (most or 0) < 2:
+        return rows, None, n or 0
+    repeated = sizes.where("_n > 1")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi"), n
+
+
 def postings(rows: DataFrame, key: str, fields: list[Field], positions: bool = True, analyzers: dict | None = None) -> DataFrame:
-    """field, term, doc_id, tf, positions of the indexed fields."""
-    parts = F.array(*(F.struct(F.lit(f.name).alias("field"), f.tokens(analyzers).alias("tokens")) for f in fields))
-    flat = rows.select(F.col(key).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.field", F.posexplode("p.tokens").alias("pos", "term"))
-    aggs = [F.count("*").alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])
-    return flat.groupBy("field", "term", "doc_id").agg(*aggs)
+    """field, term, doc_id, tf, positions of the indexed fields. Only rows that share their key with others are shuffled."""
+    alone, many, _ = apart(rows, key)
+    columns = ["field", "term", "doc_id", "tf", *(["positions"] if positions else [])]
+    parts = [field_postings(alone, key, f, analyzers).withColumn("field", F.lit(f.name)).select(*columns) for f in fields]
+    if many is not None:
+        each = F.array(*(F.struct(F.lit(f.name).alias("field"), f.tokens(analyzers).alias("tokens")) for f in fields))
+        flat = many.select(F.col(key).alias("doc_id"), F.explode(each).alias("p")).select("doc_id", "p.field", F.posexplode("p.tokens").alias("pos", "term"))
+        parts.append(flat.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select(*columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def occurrences(rows: DataFrame, key: str, fields: list[Field], terms: list[str]) -> DataFrame:
