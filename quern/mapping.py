@@ -78,9 +78,11 @@ class Mapping:
     def indexed(self) -> list[Field]:
         return [f for f in self.fields if f.index and f.type != "primarykey"]
 
-    def store(self, rows: DataFrame) -> DataFrame:
-        """The stored fields, one row for each key: the least of its rows, field by field."""
+    def store(self, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The stored fields, one row for each key that isn't in ``known``: the least of its rows, field by field."""
         stored = rows.select(*(f.stored() for f in self.fields)).where(F.col(self.key.name).isNotNull())
+        if known is not None:
+            stored = stored.join(known, self.key.name, "left_anti").select(*stored.columns)
         others = [f.name for f in self.fields if f.type != "primarykey"]
         if not others:
             return stored.distinct()

@@ -64,9 +64,7 @@ class Index:
         """Stores a batch; keys that the index has already are left out."""
         meta = self._meta()
         mapping = Mapping.of(meta["mapping"])
-        stored = mapping.store(rows)
-        if meta["docs"]:
-            stored = stored.join(self.docs().select(mapping.key.name), mapping.key.name, "left_anti").select(*stored.columns)
+        stored = mapping.store(rows, self.docs().select(mapping.key.name) if meta["docs"] else None)
         name = f"docs-{len(meta['docs']):06d}"
         store.write(stored, f"{self.folder}/{name}")
         meta["docs"].append(name)
@@ -77,15 +75,23 @@ class Index:
         meta = self._meta()
         mapping = Mapping.of(meta["mapping"])
         for name in meta["docs"][len(meta["postings"]) :]:
-            found = M.postings(self.spark.read.parquet(f"{self.folder}/{name}"), mapping.key.name, mapping.indexed, analyzers=self.analyzers)
+            docs = self._spread(self.spark.read.parquet(f"{self.folder}/{name}"))
             target = name.replace("docs", "postings")
-            self._write_postings(found, target)
+            for f in mapping.indexed:
+                # keys differ, so each document's postings are made where it is read: a sorted segment for each task
+                self._write_postings(M.field_postings(docs, mapping.key.name, f, self.analyzers), target, f.name)
             meta["postings"].append(target)
         self._save(meta)
 
-    def _write_postings(self, found: DataFrame, name: str) -> None:
-        # by range with the key as the last column: a term that most documents have is split over many tasks and files
-        found.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").mode("overwrite").parquet(f"{self.folder}/{name}")
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Over the cores, if the reader parts the rows in fewer tasks than there are cores; so little is moved."""
+        wide = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(wide) if rows._jdf.queryExecution().toRdd().getNumPartitions() < wide else rows
+
+    def _write_postings(self, found: DataFrame, name: str, field: str) -> None:
+        # one folder a field, as partitionBy names it; the rows then are sorted by the term's first bytes, not by a constant
+        at = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(field)
+        found.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.folder}/{name}/field={at}")
 
     def compact(self) -> None:
         """One batch of documents and one of postings instead of many."""
@@ -96,7 +102,11 @@ class Index:
             return
         docs, posts = f"docs-merged-{len(meta['docs'])}", f"postings-merged-{len(meta['docs'])}"
         store.write(self.docs(), f"{self.folder}/{docs}")
-        self._write_postings(M.merge(self.postings()), posts)
+        for f in self.mapping.indexed:
+            # a key is in one batch only, so nothing is to be added up; by range with the key as the last column: a term that
+            # most documents have is split over many tasks and files
+            found = self.postings().where(F.col("field") == f.name).drop("field")
+            self._write_postings(found.repartitionByRange("term", "doc_id"), posts, f.name)
         old = meta["docs"] + meta["postings"]
         meta["docs"], meta["postings"] = [docs], [posts]
         self._save(meta)
