@@ -54,9 +54,10 @@ idf as (select term, ln(any_value(n) / count(*)) as idf from tf, total group by
 
 
 def _scored(spark, sf_dir, clauses, **how) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = M.occurrences(docs, "doc_id", [_TEXT], [t for c in clauses for t in c])
-    return M.score(found, clauses, docs.count(), **how).withColumn("score", F.round("score", 6))
+    found = M.Scan(table(spark, sf_dir, "documents"), "doc_id", [_TEXT], [t for c in clauses for t in c])
+    if how.get("scoring") == "bm25":
+        how["lengths"] = found.lengths()
+    return M.score(found.occurrences(), clauses, found.n, **how).withColumn("score", F.round("score", 6))
 
 
 def _match_sql(clauses: list[list[str]], operator: str, tail: str) -> str:
@@ -90,10 +91,9 @@ tf as (select field, term, doc_id, count(*) as tf from flat where term in ('arti
 idf as (select field, term, ln((select count(*) from pages)::double / count(*)) as idf from tf group by all)
 select doc_id, round(sum(case field when 'url' then 3.0 else 1.0 end * tf * idf), 6) as score from tf join idf using (field, term) group by doc_id having count(distinct term) = 2""")
 def match_weighted(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    found = M.occurrences(pages, "page_id", _WEIGHTED, ["article", "ref", "en"])
-    n = pages.count()
-    both = M.score(found, [["article"], ["ref"], ["en"]], n, {"url": 3.0}, "or")
+    scan = M.Scan(table(spark, sf_dir, "pages"), "page_id", _WEIGHTED, ["article", "ref", "en"])
+    found = scan.occurrences()
+    both = M.score(found, [["article"], ["ref"], ["en"]], scan.n, {"url": 3.0}, "or")
     two = found.groupBy("doc_id").agg(F.count_distinct("term").alias("n")).where("n = 2").select("doc_id")
     return both.join(two, "doc_id", "left_semi").withColumn("score", F.round("score", 6))
 
@@ -104,9 +104,7 @@ df as (select term, count(*) as df, (select count(*) from documents)::double as
 select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score
 from tf join df using (term) join lens using (doc_id), m group by doc_id having count(*) = 2""")
 def match_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    lengths = docs.select("doc_id", F.size(_TEXT.tokens()).alias("length")).where("length > 0")
-    return _scored(spark, sf_dir, [["thing"], ["only"]], scoring="bm25", lengths=lengths)
+    return _scored(spark, sf_dir, [["thing"], ["only"]], scoring="bm25")
 
 
 @query("""with flat as (select doc_id, unnest(%s) as term from documents), tf as (select term, doc_id, count(*) as tf from flat where term in ('thing', 'only') group by all)

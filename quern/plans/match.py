@@ -13,6 +13,7 @@ from quern.errors import QueryError
 from quern.functions import dates, money
 from quern.mapping import Field
 from quern.operators import geo, ordering
+from quern.sources import store
 
 
 #: Tokens that are sorted at a time in a worker, whole rows; a longer row is sorted by itself.
@@ -87,6 +88,46 @@ def occurrences(rows: DataFrame, key: str, fields: list[Field], terms: list[str]
     return flat.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+class Scan:
+    """What a query needs of a table's texts, written once: tokenising is dear, and scores use hits, document frequencies and lengths.
+
+    ``n`` is the number of rows; rows that share a key are one document.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, fields: list[Field], terms: list[str]):
+        spark, wanted = rows.sparkSession, sorted(set(terms))
+        each = [f"_tokens{i}" for i in range(len(fields))]
+        tokens = rows.select(F.col(key).alias("doc_id"), *(f.tokens().alias(c) for f, c in zip(fields, each)))
+
+        def of(field: Field, c: str) -> Column:
+            found = F.coalesce(F.filter(c, lambda t: t.isin(wanted)), F.array().cast("array<string>"))
+            return F.transform(found, lambda t: F.struct(F.lit(field.name).alias("field"), t.alias("term")))
+
+        hits = F.concat(*map(of, fields, each))
+        length = reduce(Column.__add__, (F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long") for c in each))
+        path = store.new_folder(spark, "scan")
+        tokens.select("doc_id", length.alias("length"), hits.alias("hits")).write.parquet(path)
+        self.rows = spark.read.parquet(path)
+        self.n = self.rows.count()
+
+    def occurrences(self) -> DataFrame:
+        """field, term, doc_id, tf."""
+        return self.rows.select("doc_id", F.inline("hits")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+
+    def lengths(self) -> DataFrame:
+        """doc_id, length of the documents that have tokens."""
+        return self.rows.where("length > 0").groupBy("doc_id").agg(F.sum("length").alias("length"))
+
+
+def document_frequencies(rows: DataFrame, key: str, field: Field) -> DataFrame:
+    """term, df, idf of all terms of a field. Documents with a key of their own are counted where they are; only repeated keys are shuffled."""
+    alone, many, n = apart(rows, key)
+    terms = alone.select(F.explode(F.array_distinct(field.tokens())).alias("term"))
+    if many is not None:
+        terms = terms.unionByName(many.select(F.col(key), F.explode(field.tokens()).alias("term")).distinct().select("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Postings of several batches as one."""
     both = parts[0]
