@@ -218,9 +218,7 @@ def incremental_merge(spark, sf_dir):
 
 @query(f"with {_POSTINGS} select term, count(*) as df, round(any_value(idf), 6) as idf from tf join idf using (term) group by term")
 def term_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select(F.lit("text").alias("field"), "doc_id", F.explode(_TEXT.tokens()).alias("term")).distinct()
-    return M.term_statistics(found, docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return M.document_frequencies(table(spark, sf_dir, "documents"), "doc_id", _TEXT).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"select token, count(*) as n, any_value(case token when 'the' then 1.5 when 'of' then 2.25 else 5.0 end) as idf from (select unnest({_TOKENS}) as token from conversations) group by token")
