@@ -79,20 +79,49 @@ class Mapping:
         return [f for f in self.fields if f.index and f.type != "primarykey"]
 
     def store(self, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """The stored fields, one row for each key that isn't in ``known``: the least of its rows, field by field."""
+        """The stored fields, one row for each key that isn't in ``known``: the least of its rows, field by field. Rows with a key of their own stay where they are."""
         stored = rows.select(*(f.stored() for f in self.fields)).where(F.col(self.key.name).isNotNull())
         if known is not None:
             stored = stored.join(known, self.key.name, "left_anti").select(*stored.columns)
         others = [f.name for f in self.fields if f.type != "primarykey"]
         if not others:
             return stored.distinct()
-        least = stored.groupBy(self.key.name).agg(F.min(F.struct(*others)).alias("_least"))
-        return least.select(self.key.name, "_least.*").select(*(f.name for f in self.fields))
+        alone, many, _ = apart(stored, self.key.name, spread=True)
+        if many is None:
+            return alone
+        least = many.groupBy(self.key.name).agg(F.min(F.struct(*others)).alias("_least"))
+        return alone.unionByName(least.select(self.key.name, "_least.*"))
 
     def to_json(self) -> str:
         return json.dumps({"name": self.name, "field": [asdict(f) for f in self.fields]}, ensure_ascii=False)
 
 
+#: Keys that are sent to all executors; more of them are joined by a shuffle.
+SENT_KEYS = 100_000
+#: Rows of a task, if rows have to be spread.
+TASK_ROWS = 50_000
+
+
+def apart(rows: DataFrame, key: str, spread: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows whose key no other row has, the other rows (None without such), and the number of all; the keys alone are read for this.
+
+    ``spread``: the first rows are moved if a few of their tasks have most of them, as a file of few row groups gives.
+    """
+    part = [F.spark_partition_id().alias("_part")] if spread else []
+    sizes = rows.select(F.col(key).alias("_key"), *part).groupBy("_key").agg(F.count("*").alias("_n"), *([F.min("_part").alias("_part")] if spread else []))
+    totals = sizes.groupBy(*(["_part"] if spread else [])).agg(F.sum("_n").alias("n"), F.max("_n").alias("most"), F.sum(F.when(F.col("_n") > 1, 1).otherwise(0)).alias("repeated")).collect()
+    n, most, repeated = (f((r[c] or 0 for r in totals), **d) for f, c, d in ((sum, "n", {}), (max, "most", {"default": 0}), (sum, "repeated", {})))
+    wide = rows.sparkSession.sparkContext.defaultParallelism
+    if spread and n and max(r["n"] for r in totals) > max(2 * n / wide, TASK_ROWS):
+        rows = rows.repartition(max(wide, n // TASK_ROWS), key)
+    if most < 2:
+        return rows, None, n
+    keys = sizes.where("_n > 1").select("_key")
+    keys = F.broadcast(keys) if repeated <= SENT_KEYS else keys
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi"), n
+
+
 #: What fast mode uses: a key and one text.
 def fast_mapping(name: str, key: str = "Int_Incremental") -> Mapping:
     return Mapping(name, (Field("primarykey", "primarykey", primarykey_type=key), Field("text", "text", index=True)))

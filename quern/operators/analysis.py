@@ -93,8 +93,13 @@ def top_terms(tokens: DataFrame, k: int = 500) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")).cast("long")).select("rank", "token", "n")
 
 
-register("standard", lambda c: standard(c, lowercase=True))
-register("segment", lambda c: standard(c, lowercase=True))
+def STANDARD(c: Column) -> Column:
+    """What "standard" and, without a dictionary, "segment" are; :func:`blocks.standard` gives the same tokens in a worker."""
+    return standard(c, lowercase=True)
+
+
+register("standard", STANDARD)
+register("segment", STANDARD)
 register("ngram", ngrams)
 register("unicode_words", unicode_words)
 register("keyword", lambda c: F.array(c.cast("string")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import QueryError
 from quern.functions import dates, money
-from quern.mapping import Field
+from quern.mapping import Field, apart
 from quern.operators import geo, ordering
 from quern.sources import store
 
@@ -57,17 +57,6 @@ def field_postings(rows: DataFrame, key: str, field: Field, analyzers: dict | No
     return flat.mapInArrow(local, f"term string, doc_id {flat.schema['doc_id'].dataType.simpleString()}, tf long, positions array<int>")
 
 
-def apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows whose key no other row has, the other rows (None without such), and the number of all; the keys alone are read for this."""
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
-    n, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if (most or 0) < 2:
-        return rows, None, n or 0
-    repeated = sizes.where("_n > 1")
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi"), n
-
-
 def postings(rows: DataFrame, key: str, fields: list[Field], positions: bool = True, analyzers: dict | None = None) -> DataFrame:
     """field, term, doc_id, tf, positions of the indexed fields. Only rows that share their key with others are shuffled."""
     alone, many, _ = apart(rows, key)

@@ -1,8 +1,9 @@
 """A full-text index as a folder of Parquet tables.
 
-``docs/`` holds the stored fields and ``postings/`` the inverted index, both in
-batches that are appended and, at compaction, merged; postings are partitioned
-by field and sorted by term, so that a query reads the row groups of its terms.
+``docs/`` holds the stored fields and ``blocks/`` the inverted index, both in
+batches that are appended and, at compaction, merged; posting blocks are
+partitioned by field and sorted by term, so that a query reads the row groups
+of its terms.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import IndexError_
 from quern.mapping import KEYS, Mapping, fast_mapping
-from quern.operators import analysis, segment
+from quern.operators import analysis, blocks, segment
 from quern.plans import match as M
 from quern.sources import store
 
@@ -76,10 +77,10 @@ class Index:
         mapping = Mapping.of(meta["mapping"])
         for name in meta["docs"][len(meta["postings"]) :]:
             docs = self._spread(self.spark.read.parquet(f"{self.folder}/{name}"))
-            target = name.replace("docs", "postings")
+            target = name.replace("docs", "blocks")
             for f in mapping.indexed:
                 # keys differ, so each document's postings are made where it is read: a sorted segment for each task
-                self._write_postings(M.field_postings(docs, mapping.key.name, f, self.analyzers), target, f.name)
+                self._write_postings(blocks.of(docs, mapping.key.name, f, self.analyzers), target, f.name)
             meta["postings"].append(target)
         self._save(meta)
 
@@ -91,7 +92,7 @@ class Index:
     def _write_postings(self, found: DataFrame, name: str, field: str) -> None:
         # one folder a field, as partitionBy names it; the rows then are sorted by the term's first bytes, not by a constant
         at = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(field)
-        found.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.folder}/{name}/field={at}")
+        found.sortWithinPartitions("term", "first").write.mode("overwrite").parquet(f"{self.folder}/{name}/field={at}")
 
     def compact(self) -> None:
         """One batch of documents and one of postings instead of many."""
@@ -100,13 +101,13 @@ class Index:
             raise IndexError_("there are batches without postings; build first")
         if len(meta["docs"]) < 2:
             return
-        docs, posts = f"docs-merged-{len(meta['docs'])}", f"postings-merged-{len(meta['docs'])}"
+        docs, posts = f"docs-merged-{len(meta['docs'])}", f"blocks-merged-{len(meta['docs'])}"
         store.write(self.docs(), f"{self.folder}/{docs}")
         for f in self.mapping.indexed:
-            # a key is in one batch only, so nothing is to be added up; by range with the key as the last column: a term that
-            # most documents have is split over many tasks and files
-            found = self.postings().where(F.col("field") == f.name).drop("field")
-            self._write_postings(found.repartitionByRange("term", "doc_id"), posts, f.name)
+            # a key is in one batch only, so nothing is to be added up; by range with the blocks' least key as the last column: a
+            # term that most documents have is split over many tasks and files
+            found = self._blocks().where(F.col("field") == f.name).drop("field")
+            self._write_postings(found.repartitionByRange("term", "first"), posts, f.name)
         old = meta["docs"] + meta["postings"]
         meta["docs"], meta["postings"] = [docs], [posts]
         self._save(meta)
@@ -121,18 +122,24 @@ class Index:
             raise IndexError_("the index has no rows")
         return self.spark.read.parquet(*(f"{self.folder}/{n}" for n in names))
 
-    def postings(self) -> DataFrame:
+    def _blocks(self) -> DataFrame:
         names = self._meta()["postings"]
         if not names:
             raise IndexError_("the index isn't built")
-        key = self.mapping.key.primarykey_type
-        schema = f"term string, doc_id {KEYS[key]}, tf long, positions array<int>, field string"
-        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{n}").select("field", "term", "doc_id", "tf", "positions") for n in names]
+        if old := [n for n in names if not n.startswith("blocks")]:
+            raise IndexError_(f"{old} have a row for each posting, as earlier versions wrote them; build the index anew")
+        schema = f"{blocks.schema(KEYS[self.mapping.key.primarykey_type])}, field string"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{n}") for n in names]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
         return out
 
+    def postings(self, terms: list[str] | None = None, positions: bool = True) -> DataFrame:
+        """field, term, doc_id, tf and, unless they aren't asked for, positions; of some terms only the row groups that may have them are read."""
+        found = self._blocks()
+        return blocks.postings(found if terms is None else found.where(F.col("term").isin(terms)), positions)
+
     def _scored(self, q: M.Match) -> DataFrame:
         mapping = self.mapping
         fields = {f.name: f for f in mapping.indexed}
@@ -141,11 +148,11 @@ class Index:
         analyzer = fields[q.field[0]].analyzer if fields[q.field[0]].type == "text" else "keyword"
         row = self.spark.createDataFrame([(q.query,)], "q string").select((self.analyzers.get(analyzer) or analysis.analyzer(analyzer))(F.col("q")).alias("t")).first()
         clauses = M.expand(row["t"] or [], self.synonyms)
-        found = self.postings().where(F.col("field").isin(q.field))
         if not clauses:
-            return found.select("doc_id", F.lit(0.0).alias("score")).where("false")
+            return self.postings([], False).select("doc_id", F.lit(0.0).alias("score")).where("false")
+        found = self.postings(sorted({t for c in clauses for t in c}), False).where(F.col("field").isin(q.field))
         weights = {f: fields[f].weight for f in q.field}
-        lengths = found.groupBy("doc_id").agg(F.sum("tf").alias("length")) if q.scoring == "bm25" else None
+        lengths = self.postings(positions=False).where(F.col("field").isin(q.field)).groupBy("doc_id").agg(F.sum("tf").alias("length")) if q.scoring == "bm25" else None
         scored = M.score(found, clauses, self.docs().count(), weights, q.operator, q.scoring, lengths=lengths)
         if q.filter:
             keys = self.docs().where(M.condition(q.filter)).select(F.col(mapping.key.name).alias("doc_id"))
