@@ -21,6 +21,8 @@ from quern.operators import analysis
 
 #: Bytes of text, or tokens, that make up a chunk, whole rows; a longer row is one by itself.
 CHUNK_BYTES, CHUNK_TOKENS = 1 << 24, 2_000_000
+#: Bytes of text that are cut into tokens at a time, so that the arrays of a step stay in the processor's cache.
+PIECE_BYTES = 1 << 20
 #: Rows of blocks that are sent at a time, postings that are decoded at a time (whole blocks).
 SENT, DECODED = 20_000, 500_000
 
@@ -151,14 +153,16 @@ def _chunk(keys: pa.Array, tokens: pa.Array, counts: np.ndarray):
     rank[order] = np.arange(len(order), dtype=np.uint64)
     both = rank[coded.indices.to_numpy(zero_copy_only=False)] << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64)
     both.sort()
-    at, term = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int32)
+    at, term = (both & np.uint64(0xFFFFFFFF)).astype(np.int32), (both >> np.uint64(32)).astype(np.int32)
+    del both
     row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[at]
-    place = at - (np.cumsum(counts) - counts)[row]
+    place = at - (np.cumsum(counts) - counts).astype(np.int32)[row]
     new = np.ones(len(at), bool)
     new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
     begins = np.flatnonzero(new)
     step = np.diff(place, prepend=0)
     step[begins] = place[begins]
+    del place, new
     term, row = term[begins], row[begins]
     tops = np.flatnonzero(np.diff(term, prepend=-1))
     cuts = np.append(tops, len(term))
@@ -182,6 +186,20 @@ def _chunk(keys: pa.Array, tokens: pa.Array, counts: np.ndarray):
         yield out.slice(i, SENT)
 
 
+def _slices(ends: np.ndarray, most: int):
+    """From and to of whole rows of so much, by their running sums; a longer row is by itself."""
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _pieces(texts: pa.Array, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    found = [standard(texts.slice(at, to - at)) for at, to in _slices(ends, PIECE_BYTES)]
+    return pa.concat_arrays([t for t, _ in found]), np.concatenate([n for _, n in found])
+
+
 def _local(batches, texts: bool):
     for b in batches:
         order = pc.sort_indices(b.column(0)).to_numpy()
@@ -190,14 +208,10 @@ def _local(batches, texts: bool):
         keys, column = b.column(0), b.column(1)
         size = pc.binary_length(column) if texts else column.value_lengths()
         ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < len(ends):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + (CHUNK_BYTES if texts else CHUNK_TOKENS), "right")))
-            part = column.slice(at, to - at)
-            tokens, counts = standard(part) if texts else (part.flatten(), np.diff(ends[at:to], prepend=base))
+        for at, to in _slices(ends, CHUNK_BYTES if texts else CHUNK_TOKENS):
+            part, base = column.slice(at, to - at), ends[at - 1] if at else 0
+            tokens, counts = _pieces(part, ends[at:to] - base) if texts else (part.flatten(), np.diff(ends[at:to], prepend=base))
             yield from _chunk(keys.slice(at, to - at), tokens, counts)
-            at = to
 
 
 def of(rows: DataFrame, key: str, field: Field, analyzers: dict | None = None) -> DataFrame:
@@ -237,12 +251,8 @@ def postings(blocks: DataFrame, positions: bool = True) -> DataFrame:
 
     def decoded(batches):
         for b in batches:
-            ends = np.cumsum(b.column("n").to_numpy(), dtype=np.int64)
-            at = 0
-            while at < len(ends):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+            for at, to in _slices(np.cumsum(b.column("n").to_numpy(), dtype=np.int64), DECODED):
                 yield _postings(b.slice(at, to - at), positions)
-                at = to
 
     key = blocks.schema["first"].dataType.simpleString()
     return blocks.select(*columns).mapInArrow(decoded, f"field string, term string, doc_id {key}, tf long" + (", positions array<int>" if positions else ""))
