@@ -23,8 +23,10 @@ from quern.operators import analysis
 CHUNK_BYTES, CHUNK_TOKENS = 1 << 24, 2_000_000
 #: Bytes of text that are cut into tokens at a time, so that the arrays of a step stay in the processor's cache.
 PIECE_BYTES = 1 << 20
-#: Rows of blocks that are sent at a time, postings that are decoded at a time (whole blocks).
-SENT, DECODED = 20_000, 500_000
+#: Rows of blocks that are sent at a time, postings that are decoded at a time (whole blocks), integers that are packed at a time.
+SENT, DECODED, PACKED = 20_000, 500_000, 1 << 16
+#: Bits of a token's term, row and place together; a chunk that needs more is halved.
+BITS = 64
 
 
 def schema(key: str) -> str:
@@ -36,20 +38,25 @@ def schema(key: str) -> str:
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the integers, seven bits each, and where each one begins, with the end."""
-    values = values.astype(np.uint64)
-    size, most, width = np.ones(len(values), np.int8), int(values.max(initial=0)), 1
-    while most >> 7 * width:
-        size += values >= np.uint64(1 << 7 * width)
-        width += 1
-    begins = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    values = values if values.dtype == np.uint32 else values.astype(np.uint64)
+    of, width = values.dtype.type, max(1, -(-int(values.max(initial=0)).bit_length() // 7))
     if width == 1:
-        return values.astype(np.uint8), begins
-    out = np.empty(begins[-1], np.uint8)
-    out[begins[:-1]] = (values & np.uint64(127)).astype(np.uint8) | ((size > 1).astype(np.uint8) << 7)
-    for k in range(1, width):
-        at = np.flatnonzero(size > k)
-        out[begins[at] + k] = ((values[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[at] > k + 1).astype(np.uint8) << 7)
-    return out, begins
+        return values.astype(np.uint8), np.arange(len(values) + 1)
+    found, begins = [], np.zeros(len(values) + 1, np.int64)
+    for at in range(0, len(values), PACKED):
+        part, ends = values[at : at + PACKED], begins[at + 1 : at + 1 + PACKED]
+        size = np.ones(len(part), np.int8)
+        for k in range(1, width):
+            size += part >= of(1 << 7 * k)
+        np.cumsum(size, out=ends)
+        first, out = ends - size, np.empty(ends[-1], np.uint8)
+        out[first] = part.astype(np.uint8) & np.uint8(127) | ((size > 1).view(np.uint8) << np.uint8(7))
+        for k in range(1, width):
+            more = np.flatnonzero(size > k)
+            out[first[more] + k] = ((part[more] >> of(7 * k)) & of(127)).astype(np.uint8) | ((size[more] > k + 1).view(np.uint8) << np.uint8(7))
+        ends += begins[at]
+        found.append(out)
+    return np.concatenate(found), begins
 
 
 def unpack(data: np.ndarray) -> np.ndarray:
@@ -66,11 +73,12 @@ def unpack(data: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- tokens
 
 
-LETTER, DOT, ONE = 1, 2, 3
+#: Dropped characters are 0; those of words come last.
+ONE, LETTER, DOT = 1, 2, 3
 
 
 @functools.cache
-def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kinds() -> tuple[np.ndarray, bytes, bytes]:
     """Kinds of characters by code point and of ASCII bytes, and lower-case bytes, as :data:`analysis.BLOCKS` has them."""
     known = re.compile(re.sub(r"\\x\{(\w{4})\}", r"\\u\1", analysis.BLOCKS))
     points = np.array([ONE if known.fullmatch(chr(p)) else 0 for p in range(1 << 16)], np.uint8)
@@ -81,7 +89,11 @@ def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ascii_[128:] = 0
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    return points, ascii_, lower
+    return points, ascii_.tobytes(), lower.tobytes()
+
+
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(bytearray(data).translate(table), np.uint8)
 
 
 def _data(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,33 +118,37 @@ def standard(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         except UnicodeDecodeError:  # as the JVM reads it
             data, rows = _data(pa.array([bytes(t).decode("utf-8", "replace") for t in pc.cast(texts, pa.large_binary()).to_pylist()], pa.large_string()))
             lead = np.flatnonzero(data >= 0x80)
-    kind = ascii_[data]
+    kind = _mapped(data, ascii_)
     lead = lead[data[lead] >= 0xC0]
     if len(lead):
         a, b, c = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int32) for k in range(3))
         point = np.where(a < 0xE0, (a & 31) << 6 | b & 63, np.where(a < 0xF0, (a & 15) << 12 | (b & 63) << 6 | c & 63, 0))
         kind[lead] = points[point]
-    word = (kind == LETTER) | (kind == DOT)
+    word = kind > ONE
     begin = word.copy()
-    begin[1:] &= ~word[:-1]
+    begin[1:] = word[1:] > word[:-1]
     first = rows[:-1][rows[:-1] < rows[1:]]
     begin[first] = word[first]
-    runs = np.flatnonzero(begin)
-    if (kind[runs] == DOT).any():
+    dots = np.flatnonzero(kind == DOT)
+    if len(dots):
         # dots without a letter or digit in their run are tokens by themselves
-        bare = ~np.logical_or.reduceat(kind == LETTER, runs)
-        length = np.add.reduceat(word, runs, dtype=np.int64)[bare]
-        at = np.repeat(runs[bare] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        kind[at], word[at] = ONE, False
+        new = np.append(True, begin[dots[1:]] | (np.diff(dots) > 1))
+        heads = np.flatnonzero(new)
+        size = np.diff(heads, append=len(dots))
+        after = dots[heads + size - 1] + 1
+        inside = np.minimum(after, len(data) - 1)
+        bare = begin[dots[heads]] & ((after == len(data)) | ~word[inside] | begin[inside])
+        at = dots[np.repeat(bare, size)]
+        kind[at], begin[at] = ONE, False
     one = kind == ONE
-    keep = word | one
+    keep = kind > 0
     more = lead[one[lead]]
     keep[more + 1] = True
     keep[more[data[more] >= 0xE0] + 2] = True
-    starts = np.flatnonzero((begin & word) | one)
-    kept = np.cumsum(keep, dtype=np.int64)
-    ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0)
-    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(lower[data[keep]])])
+    starts = np.flatnonzero(begin | one)
+    kept = np.cumsum(keep, dtype=np.int32)
+    ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(_mapped(data[keep], lower))])
     return tokens, np.diff(np.searchsorted(starts, rows))
 
 
@@ -143,30 +159,42 @@ def _binary(data: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _chunk(keys: pa.Array, tokens: pa.Array, counts: np.ndarray):
-    """The blocks of one chunk, sorted by term; keys are in order."""
-    if not len(tokens):
+def _chunk(keys: pa.Array, terms: pa.Array, codes: np.ndarray, counts: np.ndarray):
+    """The blocks of one chunk, sorted by term; ``codes`` are the tokens' places in ``terms``, keys are in order."""
+    if not len(codes):
+        return
+    order = pc.sort_indices(terms).to_numpy()
+    # one integer a token: term, row and place
+    low, mid, high = (int(n - 1).bit_length() for n in (counts.max(), len(counts), len(order)))
+    if low + mid + high > BITS and len(counts) > 1:
+        half = len(counts) // 2
+        n = int(counts[:half].sum())
+        yield from _chunk(keys[:half], terms, codes[:n], counts[:half])
+        yield from _chunk(keys[half:], terms, codes[n:], counts[half:])
         return
-    coded = tokens.dictionary_encode(null_encoding="encode")
-    order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    both = rank[coded.indices.to_numpy(zero_copy_only=False)] << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64)
+    rank[order] = np.arange(len(order), dtype=np.uint64) << np.uint64(low + mid)
+    both = rank[codes]
+    del codes
+    both += np.repeat((np.arange(len(counts)) << low) - np.cumsum(counts) + counts, counts).view(np.uint64)
+    both += np.arange(len(both), dtype=np.uint64)
     both.sort()
-    at, term = (both & np.uint64(0xFFFFFFFF)).astype(np.int32), (both >> np.uint64(32)).astype(np.int32)
-    del both
-    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[at]
-    place = at - (np.cumsum(counts) - counts).astype(np.int32)[row]
-    new = np.ones(len(at), bool)
-    new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] ^ both[:-1] >= np.uint64(1 << low)
     begins = np.flatnonzero(new)
-    step = np.diff(place, prepend=0)
+    del new
+    heads = both[begins] >> np.uint64(low)
+    place = (both & np.uint64((1 << low) - 1)).astype(np.uint32)
+    n_tokens = len(both)
+    del both
+    step = np.diff(place, prepend=np.uint32(0))
     step[begins] = place[begins]
-    del place, new
-    term, row = term[begins], row[begins]
-    tops = np.flatnonzero(np.diff(term, prepend=-1))
+    del place
+    term, row = heads >> np.uint64(mid), (heads & np.uint64((1 << mid) - 1)).astype(np.int32)
+    del heads
+    tops = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
     cuts = np.append(tops, len(term))
-    tf, tf_at = pack(np.diff(begins, append=len(at)))
+    tf, tf_at = pack(np.diff(begins, append=n_tokens))
     positions, positions_at = pack(step)
     if pa.types.is_integer(keys.type):
         values = keys.to_numpy()[row]
@@ -178,8 +206,8 @@ def _chunk(keys: pa.Array, tokens: pa.Array, counts: np.ndarray):
         gap, strings = np.diff(ends), _binary(data, ends[cuts])
     docs, docs_at = pack(gap)
     columns = {
-        "term": coded.dictionary.take(pa.array(order)).cast(pa.string()), "first": keys.take(pa.array(row[tops])), "n": pa.array(np.diff(cuts).astype(np.int32)),
-        "docs": _binary(docs, docs_at[cuts]), "keys": strings, "tf": _binary(tf, tf_at[cuts]), "positions": _binary(positions, positions_at[np.append(begins, len(at))[cuts]]),
+        "term": terms.take(pa.array(order[term[tops]])).cast(pa.string()), "first": keys.take(pa.array(row[tops])), "n": pa.array(np.diff(cuts).astype(np.int32)),
+        "docs": _binary(docs, docs_at[cuts]), "keys": strings, "tf": _binary(tf, tf_at[cuts]), "positions": _binary(positions, positions_at[np.append(begins, n_tokens)[cuts]]),
     }
     out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     for i in range(0, len(out), SENT):
@@ -195,23 +223,76 @@ def _slices(ends: np.ndarray, most: int):
         at = to
 
 
-def _pieces(texts: pa.Array, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    found = [standard(texts.slice(at, to - at)) for at, to in _slices(ends, PIECE_BYTES)]
-    return pa.concat_arrays([t for t, _ in found]), np.concatenate([n for _, n in found])
-
-
-def _local(batches, texts: bool):
+#: Masks of the first bytes of eight.
+_FIRST = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
+
+
+def _standard_codes(texts: pa.Array, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms, the tokens' places in them, and the number of tokens by text. Tokens of eight bytes at most are told apart as integers."""
+    short, long, where, counts, n = [], [], [], [], 0
+    for at, to in _slices(ends, PIECE_BYTES):
+        tokens, count = standard(texts.slice(at, to - at))
+        data, begins = _data(tokens)
+        size = np.diff(begins)
+        eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))[begins[:-1]].byteswap()
+        eight &= _FIRST[np.minimum(size, 8)]
+        over = np.flatnonzero(size > 8)
+        eight[over] = 0  # no token: none is empty or has a NUL
+        short.append(eight)
+        long.append(tokens.take(pa.array(over)))
+        where.append(over + n)
+        counts.append(count)
+        n += len(tokens)
+    coded = pa.array(np.concatenate(short)).dictionary_encode()
+    del short
+    bytes_ = coded.dictionary.to_numpy().astype(">u8").view(np.uint8)
+    size = (bytes_.reshape(-1, 8) > 0).sum(1)
+    terms = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(bytes_[bytes_ > 0])])
+    others = pa.concat_arrays(long).dictionary_encode()
+    codes = coded.indices.to_numpy().copy()
+    codes[np.concatenate(where)] = others.indices.to_numpy() + np.int32(len(terms))
+    return pa.concat_arrays([terms, others.dictionary]), codes, np.concatenate(counts)
+
+
+def _codes(lists: pa.Array, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As :func:`_standard_codes`, of lists of any tokens."""
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.diff(ends, prepend=0)
+
+
+def _ends(column: pa.Array, texts: bool) -> np.ndarray:
+    """Running sums of the bytes or tokens of each row."""
+    size = pc.binary_length(column) if texts else column.value_lengths()
+    return np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def _chunks(batches, texts: bool, most: int):
+    """Keys and values of whole rows of so much, over several batches: the fewer chunks, the fewer blocks a term has."""
+    held, size = [], 0
     for b in batches:
-        order = pc.sort_indices(b.column(0)).to_numpy()
+        ends, at = _ends(b.column(1), texts), 0
+        while at < len(ends):
+            base = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, base + most - size, "right")), at if held else at + 1)
+            if to > at:
+                held.append([c.slice(at, to - at) for c in b.columns])
+                size += int(ends[to - 1] - base)
+            if to < len(ends) or size >= most:
+                yield [pa.concat_arrays(c) for c in zip(*held)]
+                held, size = [], 0
+            at = to
+        # what is kept for the next batch is copied, so that its own batch isn't kept
+        held = [[c.take(pa.array(np.arange(len(c)))) for c in h] if h[0].offset or len(h[0]) < len(b) else h for h in held]
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*held)]
+
+
+def _local(batches, texts: bool, most: int):
+    for keys, column in _chunks(batches, texts, most):
+        order = pc.sort_indices(keys).to_numpy()
         if (np.diff(order.astype(np.int64)) != 1).any():
-            b = b.take(pa.array(order))
-        keys, column = b.column(0), b.column(1)
-        size = pc.binary_length(column) if texts else column.value_lengths()
-        ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        for at, to in _slices(ends, CHUNK_BYTES if texts else CHUNK_TOKENS):
-            part, base = column.slice(at, to - at), ends[at - 1] if at else 0
-            tokens, counts = _pieces(part, ends[at:to] - base) if texts else (part.flatten(), np.diff(ends[at:to], prepend=base))
-            yield from _chunk(keys.slice(at, to - at), tokens, counts)
+            keys, column = keys.take(pa.array(order)), column.take(pa.array(order))
+        yield from _chunk(keys, *(_standard_codes if texts else _codes)(column, _ends(column, texts)))
 
 
 def of(rows: DataFrame, key: str, field: Field, analyzers: dict | None = None) -> DataFrame:
@@ -219,7 +300,8 @@ def of(rows: DataFrame, key: str, field: Field, analyzers: dict | None = None) -
     # the standard analyzer cuts texts over whole batches, other analyzers are expressions
     texts = field.type == "text" and field.analyzer not in (analyzers or {}) and analysis.analyzer(field.analyzer) is analysis.STANDARD
     flat = rows.select(F.col(key).alias("doc_id"), (F.col(field.name).cast("string") if texts else field.tokens(analyzers)).alias("tokens"))
-    return flat.mapInArrow(lambda batches: _local(batches, texts), schema(flat.schema["doc_id"].dataType.simpleString()))
+    most = CHUNK_BYTES if texts else CHUNK_TOKENS
+    return flat.mapInArrow(lambda batches: _local(batches, texts, most), schema(flat.schema["doc_id"].dataType.simpleString()))
 
 
 def _postings(b: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
